@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, toxicity
+from . import audio, langid, packing, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,31 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(docs, langid.fit_profiles(docs))
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.store_and_describe(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def tokenizer_path() -> str:
+    """The installed vocabulary file that the packing query takes."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_audio": op2_audio,
     "op3_langid": op3_langid,
+    "op4_warc": op4_warc,
+    "op6_packing": op6_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE}
