@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, langid, packing, toxicity, warc
+from . import audio, html_extract, langid, packing, secret_scan, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"), html_extract.fit_extractor())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_audio": op2_audio,
     "op3_langid": op3_langid,
     "op4_warc": op4_warc,
     "op6_packing": op6_packing,
+    "op9_secrets": op9_secrets,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE}
