@@ -159,7 +159,7 @@ def suffix_array(data: np.ndarray, owner: np.ndarray, base: np.ndarray, doc: np.
     first, last = first[keep], last[keep]
     a = anchor[first]
     span = mix64(
-        h[first] * _ODD[5] + h[first + 32] * _ODD[6] + h[first + 64] * _ODD[7] + h[first + 68] * _ODD[8] + h[last + 36] * _ODD[9] + h[last + 68] * _ODD[10]
+        h[first] * _ODD[5] + h[first + 32] * _ODD[6] + h[first + 64] * _ODD[7] + h[last + 4] * _ODD[8] + h[last + 36] * _ODD[9] + h[last + 68] * _ODD[10]
         + (last - first).astype(np.uint64) * _ODD[11] + (a - first).astype(np.uint64) * _ODD[12]
     )
     d = owner[first]
