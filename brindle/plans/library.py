@@ -382,7 +382,7 @@ for _code in ("flat", "sq8", "pq", "bits"):
     def vec_ivf(spark, sf_dir, code=_code):
         e = table(spark, sf_dir, "embeddings")
         q = e.where("vec_id % 20 = 0")
-        found = vector_search.Ivf(e, 32, code).search(q, 10, probes=24 if code != "flat" else 16, keep=12)
+        found = vector_search.Ivf(e, 32, code).search(q, 10, probes=24, keep=12)
         return vector_search.recall(found, vector_search.exact_knn(e, q, 10, "l2"))
 
 
