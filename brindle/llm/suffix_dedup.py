@@ -192,7 +192,8 @@ def _arrays(group):
 
 
 _DEALT = "part int, n int, repeated boolean, blob binary"
-_FOUND = "doc long, partial boolean, n int, blob binary"
+_PLACED = "part int, partial boolean, n int, blob binary"
+_FOUND = "doc long, partial boolean, blob binary"
 
 
 def _deal(kept: Suffixes, again: Suffixes, parts: int):
@@ -209,22 +210,45 @@ def _deal(kept: Suffixes, again: Suffixes, parts: int):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["part", "n", "repeated", "blob"])
 
 
-def _by_document(found: list[tuple[Suffixes, bool]]):
-    """Rows of (doc, crc, start, count) packed for each document."""
+_SPOT = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u4"), ("n", "u1")])
+
+
+def _spots(found: list[tuple[Suffixes, bool]], parts: int):
+    """A row for each bucket of documents: the runs found in them."""
     rows = []
     for s, partial in found:
-        order = np.lexsort((s.at, s.crc, s.doc))
-        s = s.take(order)
-        cuts = np.flatnonzero(np.concatenate(([True], s.doc[1:] != s.doc[:-1]))) if len(s) else []
-        packed = np.empty(len(s), [("crc", "<u4"), ("at", "<u4"), ("n", "u1")])
-        packed["crc"], packed["at"], packed["n"] = s.crc, s.at, s.n
-        for a, b in zip(cuts, [*cuts[1:], len(s)]):
-            rows.append((int(s.doc[a]), partial, int(b - a), packed[a:b].tobytes()))
+        spots = np.empty(len(s), _SPOT)
+        for f in _SPOT.names:
+            spots[f] = getattr(s, f)
+        to = (mix64(spots["doc"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, spots = to[order], spots[order]
+        cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
+        for a, b in zip(cuts, [*cuts[1:], len(to)]):
+            rows.append((int(to[a]), partial, int(b - a), spots[a:b].tobytes()))
     columns = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], names=["doc", "partial", "n", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.int32(), pa.binary()))], names=["part", "partial", "n", "blob"])
 
 
-def _receive(partial: bool):
+def _by_document(batches):
+    """A row for each document of a bucket, and each kind: its runs."""
+    held: dict[bool, list] = {False: [], True: []}
+    for b in batches:
+        for partial, blob in zip(b.column("partial").to_pylist(), b.column("blob").to_pylist()):
+            held[partial].append(np.frombuffer(blob, _SPOT))
+    for partial, blobs in held.items():
+        if not blobs:
+            continue
+        spots = np.concatenate(blobs)
+        spots = spots[np.argsort(spots["doc"], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate(([True], spots["doc"][1:] != spots["doc"][:-1])))
+        for i in range(0, len(cuts), 10_000):
+            ends = [*cuts[i + 1 : i + 10_001].tolist(), len(spots)]
+            rows = [(int(spots["doc"][a]), spots[a:b].tobytes()) for a, b in zip(cuts[i : i + 10_000].tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([partial] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], names=["doc", "partial", "blob"])
+
+
+def _receive(partial: bool, parts: int):
     """The receiving task: feeds its arrays to a family and reports repeats and, if asked for, partial matches."""
 
     def rows(batches):
@@ -236,7 +260,7 @@ def _receive(partial: bool):
                 out += [(f, False) for f in found if len(f)]
                 held += sum(map(len, found))
                 if held > 500_000:
-                    yield _by_document([(Suffixes.concat([f for f, _ in out]), False)])
+                    yield _spots([(Suffixes.concat([f for f, _ in out]), False)], parts)
                     out, held = [], 0
         whole, found = family.close()
         out = [(Suffixes.concat([f for f, _ in out] + found), False)]
@@ -246,15 +270,14 @@ def _receive(partial: bool):
             tied[1:] |= same
             tied[:-1] |= same
             out.append((whole.take(tied), True))
-        yield _by_document(out)
+        yield _spots(out, parts)
 
     return rows
 
 
 def _unpacked(blobs, crc: int) -> np.ndarray:
     """The distinct (start, count) rows of a document's blobs that belong to the text with this crc."""
-    dtype = [("crc", "<u4"), ("at", "<u4"), ("n", "u1")]
-    rows = np.concatenate([np.frombuffer(b, dtype) for b in blobs])
+    rows = np.concatenate([np.frombuffer(b, _SPOT) for b in blobs])
     return rows[rows["crc"] == crc]
 
 
@@ -297,7 +320,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for group in _batches(rows):
             yield _deal(*settle(suffix_array(*_arrays(group)[:5])), parts)
 
-    found = written(given.select("doc", "text").mapInArrow(index, _DEALT).repartition(parts, "part").mapInArrow(_receive(True), _FOUND), "repeats")
+    def resolved(dealt: DataFrame, partial: bool) -> DataFrame:
+        """Runs by document: dealt by key to the families, then by document."""
+        return dealt.repartition(parts, "part").mapInArrow(_receive(partial, parts), _PLACED).repartition(parts, "part").mapInArrow(_by_document, _FOUND)
+
+    found = written(resolved(given.select("doc", "text").mapInArrow(index, _DEALT), True), "repeats")
 
     # The same exchange of the texts serves both joins below.
     placed = given.repartition(parts, "doc")
@@ -334,6 +361,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield flush()
 
     partly = placed.join(listed(found.where("partial")), "doc").select("doc", "text", "blobs")
-    single = partly.mapInArrow(strings_of, _DEALT).repartition(parts, "part").mapInArrow(_receive(False), _FOUND)
+    single = resolved(partly.mapInArrow(strings_of, _DEALT), False)
     whole = listed(found.where("not partial").select("doc", "blob").union(single.select("doc", "blob")))
     return placed.join(whole, "doc", "left").select("doc_id", "text", "blobs").mapInArrow(_results, RESULT)
