@@ -360,7 +360,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if group:
             yield flush()
 
-    partly = placed.join(listed(found.where("partial")), "doc").select("doc", "text", "blobs")
+    partly = placed.join(listed(found.where("partial")), "doc").select("doc_id", "doc", "text", "blobs")  # with all columns, so that the exchange is the same
     single = resolved(partly.mapInArrow(strings_of, _DEALT), False)
     whole = listed(found.where("not partial").select("doc", "blob").union(single.select("doc", "blob")))
     return placed.join(whole, "doc", "left").select("doc_id", "text", "blobs").mapInArrow(_results, RESULT)
