@@ -108,7 +108,9 @@ def settle(s: Suffixes) -> tuple[Suffixes, Suffixes]:
     s = s.take(order)
     later = np.zeros(len(s), bool)
     later[1:] = (s.key[1:] == s.key[:-1]) & (s.span[1:] == s.span[:-1])
-    return s.take(~later), s.take(later)
+    first = np.maximum.accumulate(np.where(later, 0, np.arange(len(s))))
+    elsewhere = (s.doc != s.doc[first]) | (s.crc != s.crc[first]) | (s.at != s.at[first])  # else a repeated row
+    return s.take(~later), s.take(later & elsewhere)
 
 
 class Family:
