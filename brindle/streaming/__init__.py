@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and sum of ``value`` by event type in tumbling windows; rows later than ``late`` are left out of a stream."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    marked = timed.withWatermark("ts", late) if events.isStreaming else timed
     counted = marked.groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n", "total")
