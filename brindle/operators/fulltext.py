@@ -51,7 +51,9 @@ def bm25(docs: DataFrame, query: list[str], id_column: str = "doc_id", text: str
         idf = F.greatest(F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(0.0))
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return counted.crossJoin(F.broadcast(stats)).select("doc", score.alias("score")).where("score > 0")  # one row of statistics
+    whole = stats.select(F.struct("*")).scalar()
+    known = counted.withColumn("_s", whole).select("*", "_s.*")
+    return known.select("doc", score.alias("score")).where("score > 0")
 
 
 def _is(term: str):
@@ -150,7 +152,7 @@ def fuse_weighted(lists: list[tuple[DataFrame, float]]) -> DataFrame:
     """Scores over the list's top score, weighted and summed."""
     union = None
     for one, weight in lists:
-        best = one.agg(F.max("score").alias("_top"))
-        scaled = one.crossJoin(F.broadcast(best)).select("doc", (weight * F.col("score") / F.col("_top")).alias("score"))  # one row
+        top_score = one.agg(F.max("score")).scalar()
+        scaled = one.select("doc", (weight * F.col("score") / top_score).alias("score"))
         union = scaled if union is None else union.unionByName(scaled)
     return union.groupBy("doc").agg(F.sum("score").alias("score"))
