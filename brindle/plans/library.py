@@ -288,6 +288,17 @@ t AS (SELECT unnest(['stupid', 'worthless', 'license']) AS term), h AS (SELECT d
 b AS (SELECT doc, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM h JOIN f USING (term), s GROUP BY doc)"""
 
 
+def _scored(name: str, terms: list[str]) -> str:
+    """Common table expressions ending in ``name`` (doc, score)."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""{name}h AS (SELECT doc, term, len(list_filter(w, lambda x: x = term)) AS tf, len(w) AS l FROM d, (SELECT unnest([{listed}]) AS term)), {name}f AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM {name}h GROUP BY term),
+{name}b AS (SELECT doc, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM {name}h JOIN {name}f USING (term), s GROUP BY doc), {name} AS (SELECT doc, score FROM {name}b WHERE score > 0)"""
+
+
+_TWO = f"WITH d AS (SELECT doc_id AS doc, {_WORDS} AS w FROM documents), s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM d), "
+_TOPS = _TWO + _scored("x0", ["stupid", "trash"]) + ", " + _scored("y0", ["license"]) + ", x AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc) AS r FROM x0 QUALIFY r <= 50), y AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc) AS r FROM y0 QUALIFY r <= 50) "
+
+
 @query("ft_bm25", _BM25 + " SELECT doc, round(score, 6) AS score FROM b WHERE score > 0")
 def ft_bm25(spark, sf_dir):
     found = fulltext.bm25(table(spark, sf_dir, "documents"), ["stupid", "worthless", "license"])
@@ -325,21 +336,21 @@ def ft_highlight(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("source", "(src)", "<em>$1</em>").alias("h"))
 
 
-@query("ft_hybrid_rrf")
+@query("ft_hybrid_rrf", _TOPS + "SELECT doc, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY doc")
 def ft_hybrid_rrf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lists = [fulltext.top(fulltext.bm25(docs, q), 50) for q in (["stupid", "trash"], ["license"])]
     return fulltext.fuse_rrf(lists).select("doc", F.round("score", 8).alias("score"))
 
 
-@query("ft_hybrid_weighted")
+@query("ft_hybrid_weighted", _TOPS + "SELECT doc, round(sum(score), 8) AS score FROM (SELECT doc, 0.7 * score / (SELECT max(score) FROM x) AS score FROM x UNION ALL SELECT doc, 0.3 * score / (SELECT max(score) FROM y) AS score FROM y) GROUP BY doc")
 def ft_hybrid_weighted(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lists = [(fulltext.top(fulltext.bm25(docs, q), 50), w) for q, w in ((["stupid", "trash"], 0.7), (["license"], 0.3))]
     return fulltext.fuse_weighted(lists).select("doc", F.round("score", 8).alias("score"))
 
 
-@query("ft_disjunction_max")
+@query("ft_disjunction_max", _TWO + _scored("x", ["stupid"]) + ", " + _scored("y", ["trash"]) + " SELECT doc, round(max(score) + 0.1 * (CASE WHEN count(*) > 1 THEN min(score) ELSE 0 END), 8) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY doc")
 def ft_disjunction_max(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return fulltext.disjunction_max([fulltext.bm25(docs, ["stupid"]), fulltext.bm25(docs, ["trash"])], 0.1).select("doc", F.round("score", 8).alias("score"))
