@@ -31,18 +31,19 @@ CAPACITY, END = 4096, 2
 #: Pieces and tokens of a group; longest piece at first and at last; tokens that each window leaves free.
 GROUP_PIECES, PIECE, LEAST_PIECE, SLACK = 1024, 1024, 64, 8
 #: Bound of each worker's memo of token ids (speed only); characters encoded at once.
-MEMO, CHUNK = 400_000, 1_000_000
+MEMO, CHUNK = 600_000, 1_000_000
 
 # Texts with other characters than these are left whole to the tokenizer.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏ]")
-TAIL = re.compile(r"[.,;:!?]+$")
+# Whole runs of ASCII marks but the apostrophe, which the tokenizer may join to letters.
+MARKS = re.compile(r"(?<![^\w\s])[!-&(-/:-@\[-`{-~]+(?![^\w\s])")
 
 
 class Encoder:
     """Token ids of texts, equal to the tokenizer's own.
 
-    The tokenizer drops white space and treats the words between as independent, so the ids of a
-    word can be kept; words that are new in a chunk are encoded together.
+    The tokenizer drops white space and treats the words between, and runs of marks, as
+    independent, so their ids can be kept; words that are new in a chunk are encoded together.
     """
 
     def __init__(self, path: str):
@@ -65,36 +66,26 @@ class Encoder:
     def _learn(self, tokens: set[str]) -> None:
         memo = self.memo
         new = [t for t in tokens if t not in memo]
-        if len(memo) + 2 * len(new) > MEMO:
+        if len(memo) + len(new) > MEMO:
             memo.clear()
             new = list(tokens)
-        parts, words, others = {}, {}, []
-        for t in new:
-            if t.isalpha():
-                words[t] = None
-            elif (m := TAIL.search(t)) and (core := t[: m.start()]).isalpha():
-                parts[t] = (core, m[0])
-                words[core] = None
-                words[m[0]] = None
-            else:
-                others.append(t)
-        plain = [w for w in words if w not in memo]
+        one = lambda t: t.isalpha() or MARKS.fullmatch(t)
+        plain = [t for t in new if one(t)]
+        others = [t for t in new if not one(t)] if len(plain) < len(new) else []
         if plain:
             # Each is one word to the tokenizer, whose last id carries the word end.
             ids = self._exact(" ".join(plain))
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 2
             data = ids.astype("<u2").tobytes()
             if len(stops) == len(plain):
                 last = 0
                 for w, stop in zip(plain, stops.tolist()):
-                    memo[w] = data[2 * last : 2 * stop]
+                    memo[w] = data[last:stop]
                     last = stop
             else:
                 others += plain
         for t in others:
             memo[t] = self._exact(t).astype("<u2").tobytes()
-        for t, (core, tail) in parts.items():
-            memo[t] = memo[core] + memo[tail]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; works on about ``CHUNK`` characters at a time."""
@@ -104,7 +95,7 @@ class Encoder:
             while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
                 size += len(texts[j])
                 j += 1
-            split = [t.lower().split() if self._usual(t) else None for t in texts[i:j]]
+            split = [MARKS.sub(r" \g<0> ", t.lower()).split() if self._usual(t) else None for t in texts[i:j]]
             self._learn(set().union(*(s for s in split if s)))
             get = self.memo.__getitem__
             for text, tokens in zip(texts[i:j], split):
