@@ -3,10 +3,10 @@
 Equal sets are one class. Small (light) sets enumerate their subsets of the fixed sizes that a
 link needs: two of them link exactly if they share such a subset. Large (heavy) sets are found by
 scanning inverted lists, of the shingles that stand first in each set when the frequent ones are
-put last: a linked pair shares at least ``SHARED`` of these. The boundary between light and heavy
+put last: how many of these a linked pair shares at least follows from the sizes. The boundary between light and heavy
 is the largest size at which enumeration costs no more than the lists.
 
-Long inverted lists give a chain of links in order of size instead of all pairs. Pairs sharing
+Long inverted lists give links to the smallest member of each range of sizes instead of all pairs. Pairs sharing
 enough listed shingles and these links join classes into blocks; within a block all sets are
 compared exactly, first with a few leaders, then, for what these left apart, by counting common
 shingles over the block's own lists. Blocks over ``BLOCK`` shingles are dealt out as pairs of
@@ -32,14 +32,14 @@ from ._util import mix64, partitions, text_bytes, written
 from .components import UnionFind, components
 
 WORDS, PERCENT = 5, 80
-#: Listed shingles that a heavy pair must share; longest list of which all pairs are given.
-SHARED, LONG = 3, 64
+#: Listed shingles that every heavy pair shares, at least, and as a part of the set; longest list of which all pairs are given.
+SHARED, SHARE, LONG = 3, 16, 256
 #: A shingle is frequent from this count on, or from a 2**-20 share of all shingles, if that is more.
-FREQUENT = 64
+FREQUENT = 32
 #: Work of a list entry as against an enumerated subset, for the boundary.
 LIST_COST = 4
 #: Shingles compared in one task; bytes of text worked on at once; hashes counted at once.
-BLOCK, CHUNK, COUNTED = 4 << 20, 2 << 20, 4 << 20
+BLOCK, CHUNK, COUNTED = 2 << 20, 2 << 20, 4 << 20
 
 _TABLE = mix64(np.arange(5001, 5257, dtype=np.uint64))
 _PLACE = mix64(np.arange(6001, 6001 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -60,7 +60,18 @@ def needed(n: int, m: int) -> int:
 
 def prefix(n: int) -> int:
     """Listed shingles of a heavy set of ``n``."""
-    return min(n, n - least_size(n) + SHARED)
+    return min(n, n - least_size(n) + max(SHARED, n // SHARE))
+
+
+def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Common listed shingles that sets of ``n`` and ``m`` have if they link.
+
+    Up to where the first of the two listings ends in the common order, all common shingles are
+    listed in both; beyond, there are at most as many as that set has left.
+    """
+    need = -(-PERCENT * (n + m) // (100 + PERCENT))
+    rest = lambda k: k - np.minimum(k, k + (-PERCENT * k // 100) + np.maximum(SHARED, k // SHARE))
+    return np.maximum(need - np.maximum(rest(n), rest(m)), 1)
 
 
 def subset_sizes(n: int, most: int) -> list[int]:
@@ -180,7 +191,7 @@ def _rows(found: list[tuple[np.ndarray, int, np.ndarray]]):
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("name", "<i8"), ("n", "<u4")])
-_LINK = np.dtype([("a", "<i8"), ("b", "<i8")])
+_LINK = np.dtype([("a", "<i8"), ("b", "<i8"), ("n", "<u4"), ("m", "<u4")])
 
 
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
@@ -252,18 +263,26 @@ def _scan(parts: int):
                     if not len(i):
                         break
                     n, m = s["n"][i].astype(np.int64), s["n"][i + d].astype(np.int64)
-                    i = i[100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)]
+                    near = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+                    i = i[near]
                     link = np.zeros(len(i), _LINK)
+                    link["n"], link["m"] = n[near], m[near]
                     link["a"], link["b"] = s["name"][i], s["name"][i + d]  # names rise within a list
                     pairs.append(link)
                 for a, k in zip(cuts[size > LONG].tolist(), size[size > LONG].tolist()):
                     members = e[a : a + k]
                     members = members[np.argsort(members["n"], kind="stable")]
-                    # A chain by size: if two members' sizes can link, so can those of all neighbours between them.
-                    sizes = members["n"].astype(np.int64)
+                    # By size: all that can link with the smallest go to it, and so on from the next size.
+                    sizes, first = members["n"].astype(np.int64), 0
+                    to = np.zeros(k, np.int64)
+                    while first < k:
+                        end = int(np.searchsorted(sizes, 100 * sizes[first] // PERCENT, "right"))
+                        to[first:end] = first
+                        to[first] = max(first - 1, 0)  # neighbours may link over the edge of a range
+                        first = end
                     link = np.zeros(k - 1, _LINK)
-                    link["a"], link["b"] = members["name"][1:], members["name"][:-1]
-                    near = 100 * sizes[:-1] >= PERCENT * sizes[1:]
+                    link["a"], link["b"] = members["name"][1:], members["name"][to[1:]]
+                    near = 100 * sizes[to[1:]] >= PERCENT * sizes[1:]
                     chains.append(link[near])
             else:
                 for a, k in zip(cuts[size > 1].tolist(), size[size > 1].tolist()):
@@ -296,9 +315,13 @@ def _count(batches):
             by[kind].append(np.frombuffer(blob, _LINK))
     for kind, blobs in by.items():
         if blobs:
-            x, times = np.unique(np.concatenate(blobs), return_counts=True)
+            x = np.concatenate(blobs)
+            x = x[np.lexsort((x["b"], x["a"]))]
+            first = np.flatnonzero(np.concatenate(([True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1]))))
+            times = np.diff(np.concatenate((first, [len(x)])))
+            x = x[first]
             if kind == _PAIR:
-                x = x[times >= SHARED]
+                x = x[times >= least_shared(x["n"].astype(np.int64), x["m"].astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array(x["a"]), pa.array(x["b"]), pa.array(np.full(len(x), kind == _SURE))], names=["a", "b", "sure"])
 
 
@@ -362,14 +385,16 @@ def _compare(batches):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     last, names, sets, out = None, [], [], []
-    for b in batches:
-        for block, name, blob in zip(zip(*(b.column(c).to_pylist() for c in ("root", "i", "j"))), b.column("class").to_pylist(), b.column("shingles").to_pylist()):
+    for rows in _chunks(batches, "root", "i", "j", "class"):
+        for (*block, name, _), found in zip(rows, shingle_sets([r[-1] for r in rows])):
+            if class_of(found) != name:  # another text under the same doc_id
+                continue
             if block != last:
                 if len(sets) > 1:
                     out += links(names, sets)
                 last, names, sets = block, [], []
             names.append(name)
-            sets.append(np.frombuffer(blob, np.uint64))
+            sets.append(found)
         if len(out) > 10_000:
             yield batch(out)
             out = []
@@ -378,14 +403,6 @@ def _compare(batches):
     yield batch(out)
 
 
-def _sets(batches):
-    for rows in _chunks(batches, "class", "root"):
-        sets = shingle_sets([r[-1] for r in rows])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "class", "shingles"]
-        )
-
-
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -405,17 +422,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     roots = components(edges.where("not sure").select("a", "b"), "jaccard-blocks")
     blocks = written(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes, F.col("node") == F.col("class")).select("class", "root", "first", "n"), "jaccard-classes")
-    shares = blocks.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("shares")).where("shares > 1")
-    texts = given.join(blocks.select("class", "root", F.col("first").alias("doc_id")), "doc_id").select("class", "root", "text")
-    sets = texts.mapInArrow(_sets, "root long, class long, shingles binary")
     # A block too large for a task is cut in parts, and each pair of parts is compared.
+    shares = blocks.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("shares"))
     part = F.pmod(F.xxhash64("class"), F.col("shares")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.least(k, F.col("_p")).alias("i"), F.greatest(k, F.col("_p")).alias("j")))
-    placed = (
-        sets.join(shares, "root", "left").withColumn("shares", F.coalesce("shares", F.lit(1))).withColumn("_p", part)
-        .withColumn("_t", F.explode(tasks)).select("root", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "shingles")
-    )
-    links = placed.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "class").mapInArrow(_compare, "a long, b long")
+    placed = blocks.join(shares, "root").withColumn("_p", part).select("class", "root", F.col("first").alias("doc_id"), tasks.alias("tasks"))
+    texts = given.join(placed, "doc_id").select("class", "root", F.explode("tasks").alias("_t"), "text").select("root", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "text")
+    links = texts.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "class").mapInArrow(_compare, "a long, b long")
     joined = components(edges.where("sure").select("a", "b").union(links), "jaccard-links")
     whole = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
     named = whole.join(classes.select(F.col("class").alias("node"), "first"), "node")
@@ -431,3 +444,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = docs.join(going, "doc_id", "left_anti").select(*docs.columns)
     count = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id"])
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: DuckDB SQL for the rows of ``jaccard_components``.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (x) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(doc_id, c) AS (SELECT a, b FROM p UNION SELECT p.a, r.c FROM p JOIN r ON p.b = r.doc_id)
+SELECT s.doc_id, len(any_value(sh))::BIGINT AS n_shingles, coalesce(min(c), s.doc_id) AS component_id FROM s LEFT JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+"""
