@@ -423,11 +423,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(edges.where("not sure").select("a", "b"), "jaccard-blocks")
     blocks = written(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes, F.col("node") == F.col("class")).select("class", "root", "first", "n"), "jaccard-classes")
     # A block too large for a task is cut in parts, and each pair of parts is compared.
+    # The texts are shuffled at any size: the other side grows with the corpus.
     shares = blocks.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("shares"))
     part = F.pmod(F.xxhash64("class"), F.col("shares")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.least(k, F.col("_p")).alias("i"), F.greatest(k, F.col("_p")).alias("j")))
     placed = blocks.join(shares, "root").withColumn("_p", part).select("class", "root", F.col("first").alias("doc_id"), tasks.alias("tasks"))
-    texts = given.join(placed, "doc_id").select("class", "root", F.explode("tasks").alias("_t"), "text").select("root", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "text")
+    texts = given.join(placed.hint("merge"), "doc_id").select("class", "root", F.explode("tasks").alias("_t"), "text").select("root", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "text")
     links = texts.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "class").mapInArrow(_compare, "a long, b long")
     joined = components(edges.where("sure").select("a", "b").union(links), "jaccard-links")
     whole = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
@@ -441,7 +442,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their component: one of each group, with columns unchanged."""
     found = written(jaccard_components(docs), "jaccard-components")
     going = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(going, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(going.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     count = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id"])
 

@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE, "op8_jaccard": jaccard_join.ORACLE}

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from brindle.llm import components, jaccard_join, suffix_dedup
 
@@ -117,7 +118,22 @@ def test_blocks_apart_from_their_leaders():
                 assert found.find(i) == found.find(j)
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_connected_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "LOCAL", limit)
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long").repartition(7)
     got = {r["node"]: r["root"] for r in components.components(chain).collect()}
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100 and 100 not in got
+
+
+def test_linked_sets_share_enough_listed_shingles():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        n = int(rng.integers(8, 400))
+        a = rng.integers(0, 2**62, n, dtype=np.uint64)
+        keep = int(rng.integers(int(0.75 * n), n + 1))
+        b = np.concatenate((a[:keep], rng.integers(0, 2**62, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)))
+        a, b = np.unique(a), np.unique(b)
+        if jaccard_join._linked(a, b):
+            shared = len(np.intersect1d(a[: jaccard_join.prefix(len(a))], b[: jaccard_join.prefix(len(b))]))
+            assert shared >= jaccard_join.least_shared(np.array([len(a)]), np.array([len(b)]))[0]
