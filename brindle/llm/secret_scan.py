@@ -135,16 +135,17 @@ def _limits(tested: DataFrame) -> dict[int, float]:
     return out
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base and added: arrays of (start, kind number, end) in order, for every row of ``docs``."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def find_spans(docs: DataFrame, *kept: Column) -> DataFrame:
+    """``kept`` (doc_id if none are given), base and added: arrays of (start, kind number, end) in order, for every row of ``docs``."""
+    df = docs.select(*(kept or [F.col("doc_id").cast("long").alias("doc_id")]), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    names = df.columns[:-1]
     df = _spans(_spans(_spans(_spans(df, "assign", ASSIGN), "access", ACCESS), "hex", HEX), "candidate", CANDIDATE).drop("text")
     df = df.withColumn("assign", F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["token"], ASSIGN, 2)) >= ASSIGN_LEAST))
     tag = lambda k: F.transform(KINDS[k], lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
     tagged = [tag(k) for k in range(3)]
     df = df.withColumn("base", F.sort_array(F.concat(*tagged)))
     free = lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    df = df.withColumn("candidate", F.filter("candidate", free)).select("doc_id", "base", "candidate")
+    df = df.withColumn("candidate", F.filter("candidate", free)).select(*names, "base", "candidate")
     df = written(df.withColumn("_row", F.expr("uuid()")), "secret-spans")
     tokens = df.where(F.size("candidate") > 0).select("_row", F.explode("candidate").alias("c")).select("_row", "c.start", "c.end", "c.token")
     tested = written(_tested(tokens).where("random").select("_row", "start", "end", "log_p", "class"), "secret-tests")
@@ -154,7 +155,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
         keep = keep | ((F.col("class") == c) & (F.col("log_p") <= limit))
     added = tested.where(keep).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("added"))
     empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    return df.join(added, "_row", "left").select("doc_id", "base", F.coalesce("added", empty).alias("added"))
+    return df.join(added, "_row", "left").select(*names, "base", F.coalesce("added", empty).alias("added"))
 
 
 def _digest(spans: Column) -> Column:
@@ -174,20 +175,20 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every base span of its texts replaced by ``mark`` and n_chars to match.
+    """``docs`` with every base and added span of its texts replaced by ``mark`` and n_chars to match.
 
     Rows without a span keep their text, null included.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    parts = _spans(_spans(_spans(df.withColumn("_given", F.col("text")).withColumn("text", F.col("_text")), "_assign", ASSIGN), "_access", ACCESS), "_hex", HEX)
-    parts = parts.withColumn("_assign", F.filter("_assign", lambda s: F.char_length(F.regexp_extract(s["token"], ASSIGN, 2)) >= ASSIGN_LEAST))
-    spans = F.sort_array(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in ("_assign", "_access", "_hex"))))
-    parts = parts.withColumn("_spans", spans)
+    # The rows go through the scan as one column, so that their names meet none of its own.
+    found = find_spans(docs, F.struct(*docs.columns).alias("_doc"))
+    spans = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    parts = found.select("_doc", F.col("_doc.text").cast("string").alias("text"), spans.alias("_spans"))
     # The text from the end of the spans before to the start of each; spans that overlap leave nothing between.
     ends = F.transform("_spans", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("_spans", F.lit(1), i), lambda p: p["end"])), F.lit(0).cast("long")))
     piece = lambda s, i: F.concat(F.substring(F.col("text"), (F.get("_ends", i) + 1).cast("int"), F.greatest(s["start"] - F.get("_ends", i), F.lit(0)).cast("int")), F.when((s["start"] >= F.get("_ends", i)), F.lit(mark)).otherwise(F.lit("")))
     last = F.array_max(F.transform("_spans", lambda s: s["end"]))
     clean = F.concat(F.array_join(F.transform("_spans", piece), ""), F.substring(F.col("text"), (last + 1).cast("int"), F.char_length("text")))
-    out = parts.withColumn("_ends", ends).withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(F.col("_given")))
-    columns = [F.col("_clean").alias("text") if c == "text" else F.when(F.size("_spans") > 0, F.char_length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    out = parts.withColumn("_ends", ends).withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
+    given = lambda c: F.col("_doc")[c]
+    size = lambda: F.when(F.size("_spans") > 0, F.char_length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(given("n_chars"))
+    return out.select(*((F.col("_clean") if c == "text" else size() if c == "n_chars" else given(c)).alias(c) for c in docs.columns))

@@ -219,3 +219,22 @@ def test_random_tokens(spark, no_docs):
     assert sum(found[i] == "random:6:46" for i in range(30)) >= 25
     assert all(found[100 + i] == "" for i in range(50))
     assert secret_scan.scan_secrets(no_docs).count() == 0
+
+
+def test_random_tokens_are_masked(spark, no_docs):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(30)]
+    docs = docs_of(spark, [(i, f"é {k} mid token=abcdef last") for i, k in enumerate(keys)] + [(50, None), (51, keys[0]), (51, keys[0]), (52, "plain words")])
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(docs).collect()}
+    clean = secret_scan.redact_secrets(docs)
+    assert clean.columns == docs.columns
+    rows = clean.collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    hit = [i for i in range(30) if "random:2:42" in spans[i]]
+    assert len(hit) >= 25 and len(rows) == 34
+    for i in hit:
+        assert by_id[i]["text"] == "é [SECRET] mid [SECRET] last" and by_id[i]["n_chars"] == len(by_id[i]["text"]) and by_id[i]["key"] == "k"
+    assert [r["text"] for r in rows if r["doc_id"] == 51] == ["[SECRET]"] * 2 and spans[51] == "random:0:40"
+    assert by_id[50]["text"] is None and by_id[50]["n_chars"] is None and by_id[52]["text"] == "plain words"
+    assert secret_scan.redact_secrets(no_docs).columns == no_docs.columns and secret_scan.redact_secrets(no_docs).count() == 0
