@@ -29,7 +29,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are taken whole, so the 20 letters in all
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+# A token stands after any letter that it cannot hold itself, '=' included; '=' is padding only where no further token follows.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_-]))?"
 
 #: Allowed share of false discoveries; largest deviation, in standard units, of the three randomness tests.
 FDR, DEVIATION = 0.01, 3.3

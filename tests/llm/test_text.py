@@ -238,3 +238,18 @@ def test_random_tokens_are_masked(spark, no_docs):
     assert [r["text"] for r in rows if r["doc_id"] == 51] == ["[SECRET]"] * 2 and spans[51] == "random:0:40"
     assert by_id[50]["text"] is None and by_id[50]["n_chars"] is None and by_id[52]["text"] == "plain words"
     assert secret_scan.redact_secrets(no_docs).columns == no_docs.columns and secret_scan.redact_secrets(no_docs).count() == 0
+
+
+def test_random_values_of_unlisted_names(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(40)]
+    heads = ["AUTH=", "https://host.example/a?sig=", "x CLIENT_SESSION_KEY_NUMBER_1=", "export A_B='x' CRED="]
+    rows = [(i, f"{heads[i % 4]}{v}{('', '&b=1', ' end', '==')[i // 4 % 4]}") for i, v in enumerate(values)]
+    docs = docs_of(spark, rows)
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(docs).collect()}
+    hit = [i for i, t in rows if found[i] == f"random:{t.index(values[i])}:{t.index(values[i]) + 40 + 2 * t.endswith('==')}"]
+    assert len(hit) >= 34 and {i % 4 for i in hit} == {0, 1, 2, 3}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs).collect()}
+    assert all(values[i] not in clean[i] for i in hit)
+    assert [len(re.findall(secret_scan.CANDIDATE, t)) for t in ("AUTH=wJalrXUtnFEMI7K9MDENGbPxRfiCYz", "sig=9f8A7dQz3LmN0pXvB2cR6tYw", "CLIENT_SESSION_KEY_NAME=abc1")] == [1, 1, 0]
