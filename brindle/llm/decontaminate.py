@@ -3,8 +3,9 @@
 Numbers, names (capitalised words inside a sentence) and units after a number become typed
 placeholders; windows of ``WINDOW`` template tokens of the documents are hash-joined with those
 of the benchmark. For a document and an item the matches on one diagonal (same offset) are put
-together; they count if they cover enough of the item's windows and if its slots are filled
-consistently: equal item values always meet equal document values and different ones different
+together, and those on neighbouring diagonals are chained in order (a word was put in or left
+out, which shifts the offset by ``SHIFT`` at most at a time); they count if they cover enough of
+the item's windows and if its slots are filled consistently: equal item values always meet equal document values and different ones different
 ones. Matches whose slots all agree are ``exact``, the others ``reparameterised``.
 
 The join is a map-side hash join: the benchmark's windows are broadcast in blocks of at most
@@ -30,6 +31,8 @@ from ._util import mix64, strings
 
 #: Template tokens of a window; share of an item's windows that must match, exactly or with other slots.
 WINDOW, EXACT_SHARE, TEMPLATE_SHARE = 8, 0.5, 0.8
+#: Largest change of offset between neighbours of a chain, in pieces.
+SHIFT = 8
 #: Benchmark text of one broadcast block; characters worked on at once; bound of a worker's memo (speed only).
 BLOCK_BYTES, CHUNK, MEMO = 16 << 20, 1_000_000, 300_000
 
@@ -178,24 +181,78 @@ class Index:
                         found[d, i][p - int(start[d]) - int(self.at[e])].add(int(self.at[e]))
         out = []
         for (d, i), diagonals in sorted(found.items()):
-            best = None
-            for offset, places in sorted(diagonals.items()):
-                share = len(places) / int(self.windows[i])
-                if share < EXACT_SHARE or best and best[1] >= share:
-                    continue
-                covered = sorted({j + k for j in places for k in range(int(self.length[i]))})
-                a = self.first[i] + np.array(covered)
-                b = start[d] + offset + np.array(covered)
-                slots = self.kind[a] != LITERAL
-                pairs = set(zip(self.kind[a][slots].tolist(), self.hash[a][slots].tolist(), h[b][slots].tolist()))
-                same = all(x == y for _, x, y in pairs)
-                consistent = len({(k, x) for k, x, _ in pairs}) == len(pairs) == len({(k, y) for k, _, y in pairs})
-                if same or consistent and share >= TEMPLATE_SHARE:
-                    best = ("exact" if same else "reparameterised", share, len(places), offset)
-            if best:
+            if best := self._best(i, diagonals, h[start[d] : start[d + 1]]):
                 out.append((d, self.ids[i], *best))
         return out
 
+    def _best(self, i: int, diagonals: dict[int, set[int]], h: np.ndarray) -> tuple | None:
+        """(kind, coverage, windows, first piece) of the fullest consistent match of item ``i`` in a document with pieces ``h``."""
+        windows, length, best = int(self.windows[i]), int(self.length[i]), None
+        if len(set().union(*diagonals.values())) < EXACT_SHARE * windows:
+            return None
+
+        def consider(runs: list[tuple[int, list[int]]]) -> None:
+            nonlocal best
+            share = sum(len(places) for _, places in runs) / windows
+            if share < EXACT_SHARE or best and best[1] >= share:
+                return
+            pairs = set()
+            for offset, places in runs:
+                covered = np.array(sorted({j + k for j in places for k in range(length)}))
+                a = self.first[i] + covered
+                slots = self.kind[a] != LITERAL
+                pairs.update(zip(self.kind[a][slots].tolist(), self.hash[a][slots].tolist(), h[offset + covered][slots].tolist()))
+            same = all(x == y for _, x, y in pairs)
+            consistent = len({(k, x) for k, x, _ in pairs}) == len(pairs) == len({(k, y) for k, _, y in pairs})
+            if same or consistent and share >= TEMPLATE_SHARE:
+                best = ("exact" if same else "reparameterised", share, sum(len(places) for _, places in runs), runs[0][0])
+
+        for offset, places in sorted(diagonals.items()):
+            consider([(offset, sorted(places))])
+        if len(diagonals) > 1 and not (best and best[1] == 1):
+            for chain in _chains(diagonals, EXACT_SHARE * windows):
+                consider(chain)
+        return best
+
+
+def _chains(diagonals: dict[int, set[int]], least: float):
+    """Chains of at least ``least`` windows over several diagonals, the longest first: runs of (offset, places).
+
+    Both the places and the document's positions grow along a chain. For each run of neighbouring
+    places the longest chain that ends with it is built from the runs before it.
+    """
+    runs = []  # first and last place, offset
+    for offset, places in diagonals.items():
+        first = last = None
+        for j in sorted(places):
+            if first is None or j > last + 1:
+                if first is not None:
+                    runs.append((first, last, offset))
+                first = j
+            last = j
+        runs.append((first, last, offset))
+    runs.sort()
+    near: dict[int, list[int]] = defaultdict(list)  # runs so far, by offset
+    total, before, begin = [], [], []
+    for n, (first, last, offset) in enumerate(runs):
+        top, link, at = last - first + 1, -1, first
+        for o in range(offset - SHIFT, offset + SHIFT + 1):
+            for m in near.get(o, ()):
+                start = max(first, runs[m][1] + 1, runs[m][1] + o + 1 - offset)
+                if start <= last and total[m] + last - start + 1 > top:
+                    top, link, at = total[m] + last - start + 1, m, start
+        near[offset].append(n)
+        total.append(top)
+        before.append(link)
+        begin.append(at)
+    for n in sorted((n for n in range(len(runs)) if total[n] >= least and before[n] >= 0), key=lambda n: -total[n]):
+        chain = []
+        while n >= 0:
+            chain.append((runs[n][2], list(range(begin[n], runs[n][1] + 1))))
+            n = before[n]
+        if len({offset for offset, _ in chain}) > 1:
+            yield chain[::-1]
+
 
 RESULT = "doc_id long, item_id long, kind string, coverage double, n_windows long, first_token long"
 

@@ -176,6 +176,22 @@ def test_slots():
     assert kinds("If Alice has 5 apples and Bob has 7 apples how many apples do Alice and Bob have in 3 km") == ["exact"]
 
 
+def test_copies_with_a_word_more_or_less():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40)]
+    before, after = (["".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(30)] for _ in range(2))
+    index = decontaminate.Index([(1, " ".join(words))])
+    found = lambda copy: [f[1:] for f in index.search([" ".join(before + copy + after)], decontaminate._Pieces())]
+    assert found(words) == [(1, "exact", 1.0, 33, 30)]
+    assert found(words[:20] + ["inserted"] + words[20:]) == [(1, "exact", 26 / 33, 26, 30)]
+    assert found(words[:20] + words[21:]) == [(1, "exact", 25 / 33, 25, 30)]
+    assert found(words[:12] + ["inserted"] + words[12:28] + words[29:]) == [(1, "exact", 18 / 33, 18, 30)]
+    assert found(words[20:] + words[:20]) == []  # the halves in the other order lie on diagonals far apart
+    assert found(words[:20] + ["filler"] * 20 + words[20:]) == []
+    twice = words[:20] + ["one"] + words[20:] + ["two"] * 3 + words
+    assert found(twice) == [(1, "exact", 1.0, 33, 74)]
+
+
 # --- secrets --------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
