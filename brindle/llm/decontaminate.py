@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names (capitalised words inside a sentence) and units after a number become typed
-placeholders; windows of ``WINDOW`` template tokens of the documents are hash-joined with those
+Numbers, names (capitalised words) and units after a number become typed placeholders. A
+capitalised word at the start of a sentence may be a name or not, so each window has two keys:
+one with such words as literals, one with them as placeholders; either may match. Windows of ``WINDOW`` template tokens of the documents are hash-joined with those
 of the benchmark. For a document and an item the matches on one diagonal (same offset) are put
 together, and those on neighbouring diagonals are chained in order (a word was put in or left
 out, which shifts the offset by ``SHIFT`` at most at a time); they count if they cover enough of
@@ -94,7 +95,10 @@ class _Pieces:
 
 
 def _stream(texts: list[str], pieces: _Pieces):
-    """Owner, literal hash and template type (0: literal) of every piece of ``texts``, in order."""
+    """Owner, literal hash and template types (0: literal) of every piece of ``texts``, in order.
+
+    The types are given twice: with capitals at the start of a sentence as literals, and as placeholders.
+    """
     split = [t.split() for t in texts]
     pieces.learn(set().union(*split) if split else set())
     first, size, hashes, kinds, ends = pieces.tables()
@@ -110,9 +114,10 @@ def _stream(texts: list[str], pieces: _Pieces):
     starts[1:] = end[:-1] | (owner[1:] != owner[:-1])
     before = np.zeros(total, bool)
     before[1:] = (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])
-    kind[(kind == CAPITAL) & starts] = LITERAL
     kind[(kind == UNIT) & ~before] = LITERAL
-    return owner, h, kind
+    strict = kind.copy()
+    strict[(kind == CAPITAL) & starts] = LITERAL
+    return owner, h, strict, kind
 
 
 def _windows(owner: np.ndarray, h: np.ndarray, kind: np.ndarray, length: int):
@@ -121,7 +126,7 @@ def _windows(owner: np.ndarray, h: np.ndarray, kind: np.ndarray, length: int):
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     template = np.where(kind == LITERAL, h, _HOLDER[kind])
-    loose, exact, literal = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    loose, exact, literal = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int8)
     for k in range(length):
         loose += template[k : k + n] * _POWER[k]
         exact += h[k : k + n] * _POWER[k]
@@ -136,25 +141,31 @@ class Index:
 
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
-        owner, h, kind = _stream([t for _, t in items], _Pieces())
+        owner, h, strict, kind = _stream([t for _, t in items], _Pieces())
         bounds = np.searchsorted(owner, np.arange(len(items) + 1))
-        self.first, self.hash, self.kind = bounds[:-1], h, kind
+        self.first, self.hash, self.kinds = bounds[:-1], h, (strict, kind)
         size = np.diff(bounds)
         self.length = np.minimum(size, WINDOW)
         self.windows = np.maximum(size - WINDOW + 1, 1)
-        keys, item, at = [], [], []
+        keys, item, at, of = [], [], [], []
         for length in np.unique(self.length[self.length > 0]).tolist():
-            w, inside = _windows(owner, h, kind, length)
-            use = np.flatnonzero(inside & (self.length[owner[: len(w)]] == length)) if len(w) else np.zeros(0, np.int64)
-            keys.append(w[use])
-            item.append(owner[use])
-            at.append(use - self.first[owner[use]])
+            w, inside = _windows(owner, h, strict, length)
+            other, _ = _windows(owner, h, kind, length)
+            inside = inside & (self.length[owner[: len(w)]] == length) if len(w) else inside
+            # An entry's number says which of the two keys it is; 3 is both.
+            for key, use, number in ((w, inside, np.where(w == other, 3, 1)), (other, inside & (w != other), np.full(len(w), 2))):
+                use = np.flatnonzero(use)
+                keys.append(key[use])
+                item.append(owner[use])
+                at.append(use - self.first[owner[use]])
+                of.append(number[use])
         self.lengths = np.unique(self.length[self.length > 0]).tolist()
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
         self.item = np.concatenate(item)[order] if keys else np.zeros(0, np.int64)
         self.at = np.concatenate(at)[order] if keys else np.zeros(0, np.int64)
+        self.of = np.concatenate(of)[order] if keys else np.zeros(0, np.int64)
         bits = 16
         while (1 << bits) < 16 * len(self.key) and bits < 26:
             bits += 1
@@ -164,29 +175,43 @@ class Index:
 
     def search(self, texts: list[str], pieces: _Pieces) -> list[tuple]:
         """(text number, item id, kind, coverage, windows, first piece) of the items that each text holds."""
-        owner, h, kind = _stream(texts, pieces)
+        owner, h, strict, kind = _stream(texts, pieces)
         start = np.searchsorted(owner, np.arange(len(texts) + 1))
-        found: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        # Matches of first keys alone, and of either key.
+        found: dict[tuple[int, int], tuple[dict, dict]] = defaultdict(lambda: (defaultdict(set), defaultdict(set)))
         for length in self.lengths:
-            w, inside = _windows(owner, h, kind, length)
-            maybe = np.flatnonzero(inside & self.filter[(w & self.mask).astype(np.int64)]) if len(w) else []
-            if not len(maybe):
+            w, inside = _windows(owner, h, strict, length)
+            if not len(w):
                 continue
-            lo, hi = np.searchsorted(self.key, w[maybe], "left"), np.searchsorted(self.key, w[maybe], "right")
-            for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                d = int(owner[p])
-                for e in range(a, b):
-                    i = int(self.item[e])
-                    if self.length[i] == length:
-                        found[d, i][p - int(start[d]) - int(self.at[e])].add(int(self.at[e]))
+            other, _ = _windows(owner, h, kind, length)
+            for key, use, number in ((w, inside, 1), (other, inside & (w != other), 2)):
+                maybe = np.flatnonzero(use & self.filter[(key & self.mask).astype(np.int64)])
+                if not len(maybe):
+                    continue
+                lo, hi = np.searchsorted(self.key, key[maybe], "left"), np.searchsorted(self.key, key[maybe], "right")
+                for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                    d = int(owner[p])
+                    for e in range(a, b):
+                        i = int(self.item[e])
+                        if self.length[i] == length:
+                            offset, j = p - int(start[d]) - int(self.at[e]), int(self.at[e])
+                            first, either = found[d, i]
+                            either[offset].add(j)
+                            if number == 1 and self.of[e] & 1:
+                                first[offset].add(j)
         out = []
-        for (d, i), diagonals in sorted(found.items()):
-            if best := self._best(i, diagonals, h[start[d] : start[d + 1]]):
+        for (d, i), (first, either) in sorted(found.items()):
+            pieces_of = h[start[d] : start[d + 1]]
+            best = self._best(i, first, self.kinds[0], pieces_of)
+            if either != first and not (best and best[1] == 1):
+                more = self._best(i, either, self.kinds[1], pieces_of)
+                best = more if more and not (best and best[1] >= more[1]) else best
+            if best:
                 out.append((d, self.ids[i], *best))
         return out
 
-    def _best(self, i: int, diagonals: dict[int, set[int]], h: np.ndarray) -> tuple | None:
-        """(kind, coverage, windows, first piece) of the fullest consistent match of item ``i`` in a document with pieces ``h``."""
+    def _best(self, i: int, diagonals: dict[int, set[int]], kind: np.ndarray, h: np.ndarray) -> tuple | None:
+        """(kind, coverage, windows, first piece) of the fullest consistent match of item ``i``, its slots by ``kind``, in a document with pieces ``h``."""
         windows, length, best = int(self.windows[i]), int(self.length[i]), None
         if len(set().union(*diagonals.values())) < EXACT_SHARE * windows:
             return None
@@ -200,8 +225,8 @@ class Index:
             for offset, places in runs:
                 covered = np.array(sorted({j + k for j in places for k in range(length)}))
                 a = self.first[i] + covered
-                slots = self.kind[a] != LITERAL
-                pairs.update(zip(self.kind[a][slots].tolist(), self.hash[a][slots].tolist(), h[offset + covered][slots].tolist()))
+                slots = kind[a] != LITERAL
+                pairs.update(zip(kind[a][slots].tolist(), self.hash[a][slots].tolist(), h[offset + covered][slots].tolist()))
             same = all(x == y for _, x, y in pairs)
             consistent = len({(k, x) for k, x, _ in pairs}) == len(pairs) == len({(k, y) for k, _, y in pairs})
             if same or consistent and share >= TEMPLATE_SHARE:

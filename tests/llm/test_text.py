@@ -192,6 +192,19 @@ def test_copies_with_a_word_more_or_less():
     assert found(twice) == [(1, "exact", 1.0, 33, 74)]
 
 
+def test_names_at_the_start_of_sentences():
+    def kinds(item, text):
+        return [f[2:4] for f in decontaminate.Index([(1, item)]).search([text], decontaminate._Pieces())]
+
+    assert kinds("Maria has 3 apples. Maria buys 5 more.", "Peter has 4 apples. Peter buys 6 more.") == [("reparameterised", 1.0)]
+    assert kinds("Maria has 3 apples. Maria buys 5 more.", "Peter has 4 apples. Simon buys 6 more.") == []
+    assert kinds("Maria has 3 apples. Maria buys 5 more.", "so then Maria has 3 apples. Maria buys 5 more.") == [("exact", 1.0)]
+    three = "{0} walks 3 long miles through the forest. {0} carries 5 heavy baskets over the bridge. {0} sells 7 ripe apples at the market."
+    assert kinds(three.format("Maria"), "Look. " + three.format("Peter")) == [("reparameterised", 1.0)]
+    assert kinds(three.format("Maria"), "Look. " + three.format("Maria")) == [("exact", 1.0)]
+    assert kinds("The man has 3 apples and gives 2 to Bob", "The man has 4 apples and gives 5 to Tim") == [("reparameterised", 1.0)]
+
+
 # --- secrets --------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
