@@ -1,9 +1,10 @@
 """Audio features: polyphase resampling, overlapped log-mel filterbanks, hysteresis segments.
 
 Media are mono 8-bit PCM in WAV containers. Features are fixed-shape tensors of ``TENSOR_FRAMES``
-by ``MELS`` log energies with the time span of each, kept as an Arrow IPC stream of a
-``fixed_shape_tensor`` column. All work goes over blocks of frames, so memory does not grow with
-the length of a recording.
+by ``MELS`` log energies with the time span of each, stored as an Arrow IPC stream of a
+``fixed_shape_tensor`` column beside the segments; the ``feature`` text is derived from what was
+stored. Work on samples goes over blocks of frames; a recording's tensors, about a third of its
+bytes, are held whole.
 
 A null text is stored as the empty text; every payload is padded with zero bytes to a positive
 multiple of 64. Equal payloads give equal media and features; repeated rows are each computed;
@@ -25,6 +26,8 @@ from ._util import crc32, text_bytes, written
 RATE = 16_000
 #: Resampling ratio and taps of each phase.
 UP, DOWN, TAPS = 1, 2, 24
+#: Bytes of tensors handed on at once (speed and memory only).
+BATCH_BYTES = 16 << 20
 #: Frame and hop in resampled samples, mel bands, frames of a tensor, frames worked on at once.
 FRAME, HOP, MELS, TENSOR_FRAMES, BLOCK = 256, 128, 20, 64, 2048
 
@@ -148,22 +151,30 @@ def tensors(mel: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def describe(pcm: np.ndarray, keep: bool = False) -> tuple[str, bytes | None]:
-    """A digest of the features of one recording and, if asked for, its tensors."""
-    mels, energies = [], []
-    total, digest = np.zeros(MELS), hashlib.sha256()
-    for mel, energy in log_mel(pcm):
-        digest.update(np.rint(mel * 64).astype("<i2").tobytes())
-        total += mel.sum(0, dtype=np.float64)
-        energies.append(energy)
-        if keep:
-            mels.append(mel)
+def analyse(pcm: np.ndarray) -> tuple[bytes, int, list[tuple[int, int]]]:
+    """The tensors of one recording, its number of frames and all its segments."""
+    mels, energies = zip(*log_mel(pcm))
     energy = np.concatenate(energies)
-    found = segments(energy)
-    mean = ",".join(f"{v:.2f}" for v in total / len(energy))
-    voiced = ",".join(f"{_ms(a)}-{_ms(b)}" for a, b in found[:4])
-    text = f"frames={len(energy)};mels={MELS};segments={len(found)};active={sum(b - a for a, b in found)};first={voiced};mean={mean};sha={digest.hexdigest()[:16]}"
-    return text, tensors(np.concatenate(mels)) if keep else None
+    return tensors(np.concatenate(mels)), len(energy), segments(energy)
+
+
+def stored_mel(stream: bytes, frames: int) -> np.ndarray:
+    """The log-mel energies that an Arrow IPC stream of ``tensors`` holds, without the padding."""
+    column = pa.ipc.open_stream(stream).read_all()["log_mel"]
+    return np.concatenate([c.storage.flatten().to_numpy() for c in column.chunks]).reshape(-1, MELS)[:frames]
+
+
+def describe(stream: bytes, frames: int, found: list[tuple[int, int]]) -> str:
+    """A digest of the stored features of one recording, with the time spans of all its segments."""
+    mel = stored_mel(stream, frames)
+    total, digest = np.zeros(MELS), hashlib.sha256()
+    for f in range(0, frames, BLOCK):
+        part = mel[f : f + BLOCK]
+        digest.update(np.rint(part * 64).astype("<i2").tobytes())
+        total += part.sum(0, dtype=np.float64)
+    mean = ",".join(f"{v:.2f}" for v in total / frames)
+    voiced = ",".join(f"{_ms(a)}-{_ms(b)}" for a, b in found)
+    return f"frames={frames};mels={MELS};segments={len(found)};active={sum(b - a for a, b in found)};spans={voiced};mean={mean};sha={digest.hexdigest()[:16]}"
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -179,27 +190,52 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, media binary")
 
 
-def audio_features(media: DataFrame, keep_tensors: bool = False) -> DataFrame:
-    """For each row of ``media`` (doc_id, n_bytes, media): digests of payload and media, the
-    features' digest and, if asked for, the feature tensors as an Arrow IPC stream."""
-    fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tensors binary" * keep_tensors
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def audio_tensors(media: DataFrame) -> DataFrame:
+    """For each row of ``media`` (doc_id, n_bytes, media): digests of payload and media, the number
+    of frames, the first and last (exclusive) frame of every segment, the feature tensors."""
+    fields = STORED + ", frames long, starts array<long>, stops array<long>, tensors binary"
+    names = [f.split()[0] for f in fields.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names=names)
 
     def rows(batches):
         for b in batches:
-            out = []
+            out, held = [], 0
             for doc_id, n, stored in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media")):
                 stored = stored.as_py()
                 payload, _ = samples(stored)
-                feature, kept = describe(np.frombuffer(payload, np.uint8), keep_tensors)
-                row = (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, kept)
-                out.append(row[: 8 + keep_tensors])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            columns = list(zip(*out)) or [()] * (8 + keep_tensors)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in fields.split(", ")])
+                kept, frames, found = analyse(np.frombuffer(payload, np.uint8))
+                out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), frames, [a for a, _ in found], [z for _, z in found], kept))
+                held += len(kept)
+                if held >= BATCH_BYTES:
+                    yield batch(out)
+                    out, held = [], 0
+            yield batch(out)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, fields)
 
 
+def audio_features(stored: DataFrame, keep_tensors: bool = False) -> DataFrame:
+    """For each row of ``stored`` (of ``audio_tensors``): digests of payload and media, the features'
+    digest and, if asked for, the feature tensors as an Arrow IPC stream."""
+    fields = STORED + ", feature string" + ", tensors binary" * keep_tensors
+    names = [f.split()[0] for f in fields.split(", ")]
+    given = [f.split()[0] for f in STORED.split(", ")]
+
+    def rows(batches):
+        for b in batches:
+            of = zip(b.column("tensors"), b.column("frames").to_pylist(), b.column("starts").to_pylist(), b.column("stops").to_pylist())
+            feature = pa.array([describe(t.as_py(), n, list(zip(a, z))) for t, n, a, z in of], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), feature, *([b.column("tensors")] * keep_tensors)], names=names)
+
+    return stored.mapInArrow(rows, fields)
+
+
 def store_and_describe(docs: DataFrame, keep_tensors: bool = False) -> DataFrame:
-    """Store every text as audio in the shared folder, read the stored bytes back and describe them."""
-    return audio_features(written(encode_media(docs), "media"), keep_tensors)
+    """Store every text as audio in the shared folder, read the stored bytes back, store their tensors and describe these."""
+    return audio_features(written(audio_tensors(written(encode_media(docs), "media")), "tensors"), keep_tensors)

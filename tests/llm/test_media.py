@@ -44,6 +44,24 @@ def test_segments():
     assert audio.segments(np.zeros(5)) == []
 
 
+def test_all_segments_and_tensors_are_kept(spark, awkward):
+    loud, quiet = bytes([0, 255] * 1000 + [60, 200, 255, 10] * 500), bytes([128] * 4000)
+    pcm = np.frombuffer((quiet + loud) * 9, np.uint8)
+    stream, frames, found = audio.analyse(pcm)
+    assert frames == audio.frame_count(len(pcm)) and len(found) == 9
+    text = dict(p.split("=") for p in audio.describe(stream, frames, found).split(";"))
+    assert text["spans"] == ",".join(f"{audio._ms(a)}-{audio._ms(b)}" for a, b in found) and text["segments"] == "9"
+    mel = np.concatenate([m for m, _ in audio.log_mel(pcm)])
+    assert np.array_equal(audio.stored_mel(stream, frames), mel)
+    stored = audio.audio_tensors(audio.encode_media(awkward))
+    for r in audio.audio_features(stored, keep_tensors=True).collect():
+        text = dict(p.split("=") for p in r["feature"].split(";"))
+        assert len([x for x in text["spans"].split(",") if x]) == int(text["segments"])
+        assert len(audio.stored_mel(r["tensors"], int(text["frames"]))) == int(text["frames"])
+    many = spark.createDataFrame([(1, ("\x7f" * 4000 + " " * 4000) * 9)], "doc_id long, text string")
+    assert [len(r["starts"]) for r in audio.audio_tensors(audio.encode_media(many)).collect()] == [9]
+
+
 PAGES = "page_id long, url string, html string, block long, path string, n int"
 
 
