@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,14 @@ _LOCAL: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where it is unset, as in tests on one machine, a temporary folder is used.
+    Only where it is unset and all runs on one machine, as in tests, a temporary folder is used;
+    on a cluster without the setting this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="brindle-"))
     return _LOCAL[0]
@@ -53,6 +57,15 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, size: int = 1 << 20):
+    """Lists of the texts of a column, in order, of about ``size`` bytes each; null becomes the empty text."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(lengths, dtype=np.int64) - lengths) // size
+    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(column)]):
+        yield strings(column.slice(a, b - a))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each row of a string column; null becomes no bytes."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]

@@ -7,9 +7,10 @@ isotonic calibration.
 
 Only fitting uses a bounded sample (``TRAIN_ROWS`` labelled rows, those with the smallest id
 hash); every row is scored on its whole text. Null and empty texts get the score of a text
-without words. Repeated label rows of an id count once (the larger label); null labels are
-ignored; without labels every score is the prior of 0.5 / 1, that is 0.5 shrunk to 0.0.
-Repeated documents are each scored; equal texts get equal scores. Extra columns are ignored.
+without words; very long texts are scored whole, one at a time. Repeated label rows of an id
+count once (the larger label); null labels are ignored; without labels of both kinds every score
+is 0.0. Repeated documents are each scored; equal texts get equal scores. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from ._util import crc_bucket, strings, written
+from ._util import crc_bucket, strings, text_slices, written
 
 #: Labelled rows used for fitting, at most; lexicon entries kept, at most; cross-fitting folds.
 TRAIN_ROWS, ENTRIES, FOLDS = 24_000, 20_000, 4
@@ -32,8 +34,8 @@ TRAIN_ROWS, ENTRIES, FOLDS = 24_000, 20_000, 4
 STARTS = (4, 5, 6)
 #: A hit is an entry with at least this log-odds.
 STRONG = 1.5
-#: Bound of each worker's memo of word weights (speed only).
-MEMO = 300_000
+#: Bound of each worker's memo of tokens (speed and memory only).
+MEMO = 150_000
 
 # Second-person words of the corpus languages.
 SECOND = frozenset(
@@ -265,35 +267,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return ToxicityModel(entries(None), gbdt.fit(x, y), gbdt.isotonic(out, y))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``; nothing but the text is read for a score."""
+def _scorer(docs: DataFrame, model: ToxicityModel):
+    """A column function from texts to scores: only the texts go to Python, 8 bytes come back for each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES words and a few trees
 
-    def rows(batches):
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         lexicon = Lexicon(m.entries)
-        for b in batches:
-            texts = strings(b.column("text"))
-            x = np.array([features(t, lexicon) for t in texts], float).reshape(-1, WIDTH)
-            score = m.score(x)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
+        for column in columns:
+            x = [features(t, lexicon) for texts in text_slices(column) for t in texts]
+            yield pa.array(m.score(np.array(x, float).reshape(-1, WIDTH)), pa.float64())
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_bucket("doc_id", 3) == 1).alias("held_out"), "text")
-    return given.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return score
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with their columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``docs``; nothing but the text is read for a score."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_bucket("doc_id", 3) == 1).alias("held_out"), _scorer(docs, model)("text").alias("score"))
+    return given.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def rows(batches):
-        m = shared.value
-        lexicon = Lexicon(m.entries)
-        for b in batches:
-            x = np.array([features(t, lexicon) for t in strings(b.column("text"))], float).reshape(-1, WIDTH)
-            yield b.filter(pa.array(m.score(x) < threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with their columns unchanged."""
+    return docs.where(_scorer(docs, model)("text") < threshold)
