@@ -2,40 +2,45 @@
 
 Numbers, names (capitalised words) and units after a number become typed placeholders. A
 capitalised word at the start of a sentence may be a name or not, so each window has two keys:
-one with such words as literals, one with them as placeholders; either may match. Windows of ``WINDOW`` template tokens of the documents are hash-joined with those
-of the benchmark. For a document and an item the matches on one diagonal (same offset) are put
+one with such words as literals, one with them as placeholders; either may match. Windows of ``WINDOW`` template
+tokens of the documents are hash-joined with those of the benchmark. For a document and an item the matches on one diagonal (same offset) are put
 together, and those on neighbouring diagonals are chained in order (a word was put in or left
 out, which shifts the offset by ``SHIFT`` at most at a time); they count if they cover enough of
-the item's windows and if its slots are filled consistently: equal item values always meet equal document values and different ones different
-ones. Matches whose slots all agree are ``exact``, the others ``reparameterised``.
+the item's windows and if its slots are filled consistently: equal item values always meet equal
+document values and different ones different ones. Matches whose slots all agree are ``exact``, the others ``reparameterised``.
 
 The join is a map-side hash join: the benchmark's windows are broadcast in blocks of at most
 ``BLOCK_BYTES`` of item text, one pass over the documents for each block, so the broadcast is
-bounded however large the benchmark is. Windows with few literal tokens are matched literally.
+bounded however large the benchmark is. As a match needs half of an item's windows, the join
+looks up only the rarest of them, one more than may be missing; a window that very many items
+share is thus seldom a key. Items found so are then compared by all their windows. Windows with
+few literal tokens are matched literally.
 
 Items shorter than the window use one window of their own length; items without a word match
-nothing, nor do null or empty texts. Repeated documents are each reported; repeated items are
-each matched under their own id; null ids are kept.
+nothing, nor do null or empty texts. Very long texts are searched whole. Repeated documents are
+each reported; repeated items are each matched under their own id; null ids are kept. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import mix64, strings
+from ._util import mix64, text_slices
 
 #: Template tokens of a window; share of an item's windows that must match, exactly or with other slots.
 WINDOW, EXACT_SHARE, TEMPLATE_SHARE = 8, 0.5, 0.8
 #: Largest change of offset between neighbours of a chain, in pieces.
 SHIFT = 8
-#: Benchmark text of one broadcast block; characters worked on at once; bound of a worker's memo (speed only).
-BLOCK_BYTES, CHUNK, MEMO = 16 << 20, 1_000_000, 300_000
+#: Benchmark text of one broadcast block; bytes of text worked on at once; tokens of a worker's memo (speed and memory only).
+BLOCK_BYTES, CHUNK, MEMO = 16 << 20, 1 << 20, 150_000
 
 # Unit words.
 UNITS = frozenset(
@@ -56,16 +61,18 @@ def _word_hash(word: str) -> int:
 
 
 class _Pieces:
-    """Typed pieces of tokens between spaces; what a token holds is kept until the memo is full."""
+    """Typed pieces of tokens between spaces; what a token holds is kept until the memo is full.
+
+    A token is its place in ``index``; the arrays hold its first piece and number of pieces, and of
+    each piece the hash, the kind and whether a sentence ends with it.
+    """
 
     def __init__(self):
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.first, self.size = [], []
-        self.hash, self.kind, self.end = [], [], []
-        self.arrays = None
+        self.arrays = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
 
     def learn(self, tokens) -> None:
         new = [t for t in tokens if t not in self.index]
@@ -74,24 +81,26 @@ class _Pieces:
         if len(self.index) + len(new) > MEMO:
             self.reset()
             new = list(tokens)
+        sizes, hashes, kinds, ends = [], [], [], []
         for token in new:
-            self.index[token] = len(self.first)
             found = [token] if token.isalpha() else PIECE.findall(token)
-            self.first.append(len(self.hash))
-            self.size.append(len(found))
+            sizes.append(len(found))
             for p in found:
                 low = p.lower()
-                self.hash.append(_word_hash(low))
-                self.kind.append(NUMBER if p[0].isdigit() else UNIT if low in UNITS else CAPITAL if p[0].isupper() else LITERAL)
-                self.end.append(False)
+                hashes.append(_word_hash(low))
+                kinds.append(NUMBER if p[0].isdigit() else UNIT if low in UNITS else CAPITAL if p[0].isupper() else LITERAL)
+                ends.append(False)
             if found and token.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":"):
-                self.end[-1] = True
-        self.arrays = None
-
-    def tables(self):
-        if self.arrays is None:
-            self.arrays = (np.array(self.first), np.array(self.size), np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.end, bool))
-        return self.arrays
+                ends[-1] = True
+        first, size, h, kind, end = self.arrays
+        count = len(self.index)
+        self.index.update(zip(new, range(count, count + len(new))))
+        at = np.cumsum(sizes) - sizes + len(h)
+        # A token may be as long as its text, so sizes are wide.
+        self.arrays = (
+            np.concatenate((first, at.astype(np.int64))), np.concatenate((size, np.array(sizes, np.int64))), np.concatenate((h, np.array(hashes, np.uint64))),
+            np.concatenate((kind, np.array(kinds, np.int8))), np.concatenate((end, np.array(ends, bool))),
+        )
 
 
 def _stream(texts: list[str], pieces: _Pieces):
@@ -101,7 +110,7 @@ def _stream(texts: list[str], pieces: _Pieces):
     """
     split = [t.split() for t in texts]
     pieces.learn(set().union(*split) if split else set())
-    first, size, hashes, kinds, ends = pieces.tables()
+    first, size, hashes, kinds, ends = pieces.arrays
     get = pieces.index.__getitem__
     ids = np.array([get(t) for s in split for t in s], np.int64)
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
@@ -137,7 +146,11 @@ def _windows(owner: np.ndarray, h: np.ndarray, kind: np.ndarray, length: int):
 
 
 class Index:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items.
+
+    ``key`` and ``item`` hold the windows that are looked up. As a match needs ``EXACT_SHARE`` of an
+    item's windows, those are the rarest of each item, one more than a match may leave out.
+    """
 
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
@@ -147,25 +160,32 @@ class Index:
         size = np.diff(bounds)
         self.length = np.minimum(size, WINDOW)
         self.windows = np.maximum(size - WINDOW + 1, 1)
-        keys, item, at, of = [], [], [], []
-        for length in np.unique(self.length[self.length > 0]).tolist():
+        self.lengths = np.unique(self.length[self.length > 0]).tolist()
+        #: Of the window that starts at each piece, its two keys.
+        self.keys = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+        starts = np.zeros(len(h), bool)
+        for length in self.lengths:
             w, inside = _windows(owner, h, strict, length)
             other, _ = _windows(owner, h, kind, length)
-            inside = inside & (self.length[owner[: len(w)]] == length) if len(w) else inside
-            # An entry's number says which of the two keys it is; 3 is both.
-            for key, use, number in ((w, inside, np.where(w == other, 3, 1)), (other, inside & (w != other), np.full(len(w), 2))):
-                use = np.flatnonzero(use)
-                keys.append(key[use])
-                item.append(owner[use])
-                at.append(use - self.first[owner[use]])
-                of.append(number[use])
-        self.lengths = np.unique(self.length[self.length > 0]).tolist()
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = np.concatenate(item)[order] if keys else np.zeros(0, np.int64)
-        self.at = np.concatenate(at)[order] if keys else np.zeros(0, np.int64)
-        self.of = np.concatenate(of)[order] if keys else np.zeros(0, np.int64)
+            use = np.flatnonzero(inside & (self.length[owner[: len(w)]] == length))
+            starts[use] = True
+            self.keys[0][use], self.keys[1][use] = w[use], other[use]
+        at = np.flatnonzero(starts)
+        of = owner[at]
+        each, number, times = np.unique(np.concatenate((self.keys[0][at], self.keys[1][at])), return_inverse=True, return_counts=True)
+        often = np.maximum(times[number[: len(at)]], times[number[len(at) :]])
+        order = np.lexsort((at, often, of))  # the windows of each item, the rarest first
+        begin = np.searchsorted(of, np.arange(len(items)))
+        rank = np.arange(len(at)) - begin[of]
+        least = np.ceil(EXACT_SHARE * self.windows).astype(np.int64)
+        probe = at[order][rank <= (self.windows - least)[of]]
+        key = np.concatenate((self.keys[0][probe], self.keys[1][probe]))
+        item = np.concatenate((owner[probe], owner[probe]))
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+        self.key, self.item = key[new], item[new]
         bits = 16
         while (1 << bits) < 16 * len(self.key) and bits < 26:
             bits += 1
@@ -177,32 +197,28 @@ class Index:
         """(text number, item id, kind, coverage, windows, first piece) of the items that each text holds."""
         owner, h, strict, kind = _stream(texts, pieces)
         start = np.searchsorted(owner, np.arange(len(texts) + 1))
-        # Matches of first keys alone, and of either key.
-        found: dict[tuple[int, int], tuple[dict, dict]] = defaultdict(lambda: (defaultdict(set), defaultdict(set)))
+        keys, hits = {}, []
         for length in self.lengths:
             w, inside = _windows(owner, h, strict, length)
             if not len(w):
                 continue
             other, _ = _windows(owner, h, kind, length)
-            for key, use, number in ((w, inside, 1), (other, inside & (w != other), 2)):
+            keys[length] = w, other
+            for key, use in ((w, inside), (other, inside & (w != other))):
                 maybe = np.flatnonzero(use & self.filter[(key & self.mask).astype(np.int64)])
-                if not len(maybe):
-                    continue
-                lo, hi = np.searchsorted(self.key, key[maybe], "left"), np.searchsorted(self.key, key[maybe], "right")
-                for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    d = int(owner[p])
-                    for e in range(a, b):
-                        i = int(self.item[e])
-                        if self.length[i] == length:
-                            offset, j = p - int(start[d]) - int(self.at[e]), int(self.at[e])
-                            first, either = found[d, i]
-                            either[offset].add(j)
-                            if number == 1 and self.of[e] & 1:
-                                first[offset].add(j)
+                if len(maybe):
+                    lo, hi = np.searchsorted(self.key, key[maybe], "left"), np.searchsorted(self.key, key[maybe], "right")
+                    n = hi - lo
+                    item = self.item[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                    of = np.repeat(owner[maybe], n)
+                    hits.append(np.unique(np.stack((of, item), 1)[self.length[item] == length], axis=0))
         out = []
-        for (d, i), (first, either) in sorted(found.items()):
-            pieces_of = h[start[d] : start[d + 1]]
-            best = self._best(i, first, self.kinds[0], pieces_of)
+        for d, i in np.unique(np.concatenate(hits), axis=0).tolist() if hits else ():
+            a, length = int(start[d]), int(self.length[i])
+            b = int(start[d + 1]) - length + 1
+            pieces_of = h[a : start[d + 1]]
+            first, either = self._diagonals(i, *(k[a:b] for k in keys[length]))
+            best = self._best(i, first, self.kinds[0], pieces_of) if first else None
             if either != first and not (best and best[1] == 1):
                 more = self._best(i, either, self.kinds[1], pieces_of)
                 best = more if more and not (best and best[1] >= more[1]) else best
@@ -210,6 +226,26 @@ class Index:
                 out.append((d, self.ids[i], *best))
         return out
 
+    def _diagonals(self, i: int, w: np.ndarray, other: np.ndarray) -> tuple[dict, dict]:
+        """Places of item ``i`` by offset at which windows of a document with keys ``w`` and ``other`` match: by first keys alone, and by either key."""
+        a = int(self.first[i])
+        places = slice(a, a + int(self.windows[i]))
+        strict, loose = (k[places] for k in self.keys)
+        first, either = defaultdict(set), defaultdict(set)
+        # A document's key meets either key of the item; first keys count for `first` only with each other.
+        for key, with_first in ((w, True), (other, False)):
+            for theirs, is_first in ((strict, True), (loose, False)):
+                order = np.argsort(theirs, kind="stable")
+                lo, hi = np.searchsorted(theirs, key, "left", order), np.searchsorted(theirs, key, "right", order)
+                n = hi - lo
+                p = np.repeat(np.arange(len(key)), n)
+                j = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                for offset, place in zip((p - j).tolist(), j.tolist()):
+                    either[offset].add(place)
+                    if with_first and is_first:
+                        first[offset].add(place)
+        return first, either
+
     def _best(self, i: int, diagonals: dict[int, set[int]], kind: np.ndarray, h: np.ndarray) -> tuple | None:
         """(kind, coverage, windows, first piece) of the fullest consistent match of item ``i``, its slots by ``kind``, in a document with pieces ``h``."""
         windows, length, best = int(self.windows[i]), int(self.length[i]), None
@@ -292,17 +328,6 @@ def _indexes(benchmark: DataFrame):
         yield Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is not None, r[0], r[1])))
 
 
-def _chunks(texts: list[str]):
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
-            size += len(texts[j])
-            j += 1
-        yield i, j
-        i = j
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document row and benchmark item that it holds."""
     out = None
@@ -312,8 +337,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def rows(batches, shared=shared):
             pieces = _Pieces()
             for b in batches:
-                texts, ids = strings(b.column("text")), b.column("doc_id").to_pylist()
-                found = [(ids[i + d], *rest) for i, j in _chunks(texts) for d, *rest in shared.value.search(texts[i:j], pieces)]
+                ids, found, at = b.column("doc_id").to_pylist(), [], 0
+                for texts in text_slices(b.column("text"), CHUNK):
+                    found += [(ids[at + d], *rest) for d, *rest in shared.value.search(texts, pieces)]
+                    at += len(texts)
                 columns = list(zip(*found)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
@@ -323,17 +350,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns unchanged."""
-    for index in _indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def _clean(docs: DataFrame, index: Index):
+    """A column function: whether a text holds no item of ``index``."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # a block of at most BLOCK_BYTES of item text
+
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = _Pieces()
+        for column in columns:
+            out, at = np.ones(len(column), bool), 0
+            for texts in text_slices(column, CHUNK):
+                out[[at + f[0] for f in shared.value.search(texts, pieces)]] = False
+                at += len(texts)
+            yield pa.array(out)
+
+    return clean
 
-        def rows(batches, shared=shared):
-            pieces = _Pieces()
-            for b in batches:
-                texts = strings(b.column("text"))
-                held = {i + f[0] for i, j in _chunks(texts) for f in shared.value.search(texts[i:j], pieces)}
-                yield b.filter(pa.array([k not in held for k in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(rows, docs.schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with their columns unchanged; only the texts go to Python."""
+    for index in _indexes(benchmark):
+        docs = docs.where(_clean(docs, index)("text"))
     return docs
