@@ -3,32 +3,36 @@
 Equal sets are one class. Small (light) sets enumerate their subsets of the fixed sizes that a
 link needs: two of them link exactly if they share such a subset. Large (heavy) sets are found by
 scanning inverted lists, of the shingles that stand first in each set when the frequent ones are
-put last: how many of these a linked pair shares at least follows from the sizes. The boundary between light and heavy
-is the largest size at which enumeration costs no more than the lists.
+put last: how many of these a linked pair shares at least follows from the sizes. The boundary
+between light and heavy is chosen by cost from a census of all documents: the number of sets of
+each size and the length of the inverted list that an entry stands in.
 
-Long inverted lists give links to the smallest member of each range of sizes instead of all pairs. Pairs sharing
-enough listed shingles and these links join classes into blocks; within a block all sets are
-compared exactly, first with a few leaders, then, for what these left apart, by counting common
+Long inverted lists give links to the smallest member of each range of sizes instead of all
+pairs. Pairs sharing enough listed shingles and these links join classes into blocks; within a
+block all sets are compared exactly, first with a few leaders, then, for what these left apart, by counting common
 shingles over the block's own lists. Blocks over ``BLOCK`` shingles are dealt out as pairs of
 parts. So no pair of different texts is lost, and no group's pairs are all written.
 
 Words are what stands between ASCII spaces after lower-casing A-Z. A text with fewer than five
 words is one shingle; a null, empty or blank text has the empty set, links with nothing and is
-its own component. Repeated rows are members of one class; a null doc_id never names a component
-with other ids. Sets and shingles are told apart by 64-bit hashes.
+its own component. Very long texts are taken whole. Repeated rows are members of one class; a
+null doc_id never names a component with other ids. Extra columns are ignored, whatever their
+names. Sets and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from ._util import mix64, partitions, text_bytes, written
+from ._util import mix64, partitions, text_bytes, text_slices, written
 from .components import UnionFind, components
 
 WORDS, PERCENT = 5, 80
@@ -36,10 +40,12 @@ WORDS, PERCENT = 5, 80
 SHARED, SHARE, LONG = 3, 16, 256
 #: A shingle is frequent from this count on, or from a 2**-20 share of all shingles, if that is more.
 FREQUENT = 32
-#: Work of a list entry as against an enumerated subset, for the boundary.
-LIST_COST = 4
+#: Work of a list entry as against an enumerated subset; largest light size that is considered.
+LIST_COST, LARGEST_LIGHT = 2.0, 20
 #: Shingles compared in one task; bytes of text worked on at once; hashes counted at once.
-BLOCK, CHUNK, COUNTED = 2 << 20, 2 << 20, 4 << 20
+BLOCK, CHUNK, COUNTED = 1 << 20, 1 << 20, 2 << 20
+#: Bytes of dealt entries that a task is to get; entries scanned at once; links held before they are handed on.
+TASK_BYTES, SCANNED, HELD = 32 << 20, 1 << 18, 1 << 18
 
 _TABLE = mix64(np.arange(5001, 5257, dtype=np.uint64))
 _PLACE = mix64(np.arange(6001, 6001 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -78,15 +84,14 @@ def subset_sizes(n: int, most: int) -> list[int]:
     return sorted({needed(n, m) for m in range(least_size(n), min(most, 100 * n // PERCENT) + 1)})
 
 
-def boundary() -> int:
-    """The largest light size: the subsets cost at most as much as the lists."""
-    n = 1
-    while sum(comb(n + 1, c) for c in subset_sizes(n + 1, 100 * (n + 1) // PERCENT)) <= LIST_COST * prefix(n + 1):
-        n += 1
-    return n
+def boundary(sizes: dict[int, int], list_length: float) -> int:
+    """The light size of least cost, for numbers of sets by size and the mean length of the list that an entry stands in.
 
-
-LIGHT = boundary()
+    Sets up to it enumerate subsets; those that can link with a larger one are listed.
+    """
+    listed = lambda light: sum(count * prefix(n) for n, count in sizes.items() if n >= least_size(light + 1)) * LIST_COST * list_length
+    enumerated = lambda light: sum(count * sum(comb(n, c) for c in subset_sizes(n, light)) for n, count in sizes.items() if n <= light)
+    return min(range(1, LARGEST_LIGHT + 1), key=lambda light: listed(light) + enumerated(light))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -198,8 +203,16 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def _lists(frequent, parts: int):
-    """Entries of the inverted lists (heavy sets) and the enumerated subsets (light sets)."""
+def _in_ranges(blobs: list[bytes], kind: np.dtype, field: str):
+    """The entries of ``blobs``, about ``SCANNED`` at a time; entries with equal ``field`` come together."""
+    arrays = [np.frombuffer(b, kind) for b in blobs]
+    ranges = max(1, -(-sum(map(len, arrays)) // SCANNED))
+    for r in range(ranges):
+        yield np.concatenate([a if ranges == 1 else a[(mix64(a[field].view(np.uint64)) >> np.uint64(40)) % np.uint64(ranges) == r] for a in arrays])
+
+
+def _lists(frequent, parts: int, light: int):
+    """Entries of the inverted lists (heavy sets) and the enumerated subsets (sets of up to ``light``)."""
 
     def rows(batches):
         common = frequent.value
@@ -208,7 +221,7 @@ def _lists(frequent, parts: int):
             listed, subsets = [], []
             for name, s in sets.items():
                 n = len(s)
-                if n >= least_size(LIGHT + 1):
+                if n >= least_size(light + 1):
                     k = prefix(n)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -216,9 +229,9 @@ def _lists(frequent, parts: int):
                         if often.any():
                             s = np.concatenate((s[~often], s[often]))
                     listed.append((name, n, s[:k]))
-                if n <= LIGHT:
+                if n <= light:
                     mixed = mix64(sets[name])
-                    for c in subset_sizes(n, LIGHT):
+                    for c in subset_sizes(n, light):
                         keys = mix64(np.array([mixed[list(x)].sum(dtype=np.uint64) for x in combinations(range(n), c)], np.uint64) + np.uint64(c << 48))
                         subsets.append((name, n, c, keys))
             found = []
@@ -242,68 +255,85 @@ def _scan(parts: int):
         by = {_LISTED: [], _SUBSET: []}
         for b in batches:
             for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
-                by[kind].append(np.frombuffer(blob, _ENTRY))
+                by[kind].append(blob)
         for kind, blobs in by.items():
-            if not blobs:
-                continue
-            e = np.concatenate(blobs)
-            e = e[np.lexsort((e["name"], e["key"]))]
-            again = np.zeros(len(e), bool)
-            again[1:] = (e["key"][1:] == e["key"][:-1]) & (e["name"][1:] == e["name"][:-1])
-            e = e[~again]
-            cuts = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
-            size = np.diff(np.concatenate((cuts, [len(e)])))
-            pairs, sure, chains = [], [], []
-            if kind == _LISTED:
-                # All pairs of the short lists, by distance within the list.
-                short = np.repeat((size > 1) & (size <= LONG), size)
-                s = e[short]
-                for d in range(1, int(size[(size > 1) & (size <= LONG)].max(initial=1))):
-                    i = np.flatnonzero(s["key"][d:] == s["key"][:-d])
-                    if not len(i):
-                        break
-                    n, m = s["n"][i].astype(np.int64), s["n"][i + d].astype(np.int64)
-                    near = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
-                    i = i[near]
-                    link = np.zeros(len(i), _LINK)
-                    link["n"], link["m"] = n[near], m[near]
-                    link["a"], link["b"] = s["name"][i], s["name"][i + d]  # names rise within a list
-                    pairs.append(link)
-                for a, k in zip(cuts[size > LONG].tolist(), size[size > LONG].tolist()):
-                    members = e[a : a + k]
-                    members = members[np.argsort(members["n"], kind="stable")]
-                    # By size: all that can link with the smallest go to it, and so on from the next size.
-                    sizes, first = members["n"].astype(np.int64), 0
-                    to = np.zeros(k, np.int64)
-                    while first < k:
-                        end = int(np.searchsorted(sizes, 100 * sizes[first] // PERCENT, "right"))
-                        to[first:end] = first
-                        to[first] = max(first - 1, 0)  # neighbours may link over the edge of a range
-                        first = end
-                    link = np.zeros(k - 1, _LINK)
-                    link["a"], link["b"] = members["name"][1:], members["name"][to[1:]]
-                    near = 100 * sizes[to[1:]] >= PERCENT * sizes[1:]
-                    chains.append(link[near])
-            else:
-                for a, k in zip(cuts[size > 1].tolist(), size[size > 1].tolist()):
-                    members = e[a : a + k]
-                    n, c = (members["n"] & 0xFFFF).astype(np.int64), int(members["n"][0] >> 16)
-                    first = int(np.argmin(n))
-                    # The smallest links with all that any member links with.
-                    near = (PERCENT * (n + n[first]) <= (100 + PERCENT) * c) & (np.arange(k) != first)
-                    link = np.zeros(int(near.sum()), _LINK)
-                    link["a"], link["b"] = members["name"][near], members["name"][first]
-                    sure.append(link)
-            found = []
-            for to, links in ((_PAIR, pairs), (_SURE, sure), (_CHAIN, chains)):
-                if links:
-                    x = np.concatenate(links)
-                    found.append((_part(mix64(x["a"].view(np.uint64) * np.uint64(3) + x["b"].view(np.uint64)), parts), to, x))
-            yield _rows(found)
+            for e in _in_ranges(blobs, _ENTRY, "key") if blobs else ():
+                e = e[np.lexsort((e["name"], e["key"]))]
+                again = np.zeros(len(e), bool)
+                again[1:] = (e["key"][1:] == e["key"][:-1]) & (e["name"][1:] == e["name"][:-1])
+                held, size = {}, 0
+                for to, link in (_listed if kind == _LISTED else _subsets)(e[~again]):
+                    held.setdefault(to, []).append(link)
+                    size += len(link)
+                    if size >= HELD:
+                        yield _dealt_links(held, parts)
+                        held, size = {}, 0
+                if size:
+                    yield _dealt_links(held, parts)
 
     return rows
 
 
+def _dealt_links(held: dict[int, list[np.ndarray]], parts: int):
+    found = []
+    for to, links in held.items():
+        x = np.concatenate(links)
+        found.append((_part(mix64(x["a"].view(np.uint64) * np.uint64(3) + x["b"].view(np.uint64)), parts), to, x))
+    return _rows(found)
+
+
+def _cuts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key of the sorted entries begins, and how many entries it has."""
+    cuts = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1]))) if len(e) else np.zeros(0, np.int64)
+    return cuts, np.diff(np.concatenate((cuts, [len(e)])))
+
+
+def _listed(e: np.ndarray):
+    """Pairs of the short lists in sorted entries, chains of the long ones."""
+    cuts, size = _cuts(e)
+    # All pairs of the short lists, by distance within the list.
+    s = e[np.repeat((size > 1) & (size <= LONG), size)]
+    for d in range(1, int(size[(size > 1) & (size <= LONG)].max(initial=1))):
+        i = np.flatnonzero(s["key"][d:] == s["key"][:-d])
+        if not len(i):
+            break
+        n, m = s["n"][i].astype(np.int64), s["n"][i + d].astype(np.int64)
+        near = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+        i = i[near]
+        link = np.zeros(len(i), _LINK)
+        link["n"], link["m"] = n[near], m[near]
+        link["a"], link["b"] = s["name"][i], s["name"][i + d]  # names rise within a list
+        yield _PAIR, link
+    for a, k in zip(cuts[size > LONG].tolist(), size[size > LONG].tolist()):
+        members = e[a : a + k]
+        members = members[np.argsort(members["n"], kind="stable")]
+        # By size: all that can link with the smallest go to it, and so on from the next size.
+        sizes, first = members["n"].astype(np.int64), 0
+        to = np.zeros(k, np.int64)
+        while first < k:
+            end = int(np.searchsorted(sizes, 100 * sizes[first] // PERCENT, "right"))
+            to[first:end] = first
+            to[first] = max(first - 1, 0)  # neighbours may link over the edge of a range
+            first = end
+        link = np.zeros(k - 1, _LINK)
+        link["a"], link["b"] = members["name"][1:], members["name"][to[1:]]
+        yield _CHAIN, link[100 * sizes[to[1:]] >= PERCENT * sizes[1:]]
+
+
+def _subsets(e: np.ndarray):
+    """Sure links of the sets that share an enumerated subset."""
+    cuts, size = _cuts(e)
+    for a, k in zip(cuts[size > 1].tolist(), size[size > 1].tolist()):
+        members = e[a : a + k]
+        n, c = (members["n"] & 0xFFFF).astype(np.int64), int(members["n"][0] >> 16)
+        first = int(np.argmin(n))
+        # The smallest links with all that any member links with.
+        near = (PERCENT * (n + n[first]) <= (100 + PERCENT) * c) & (np.arange(k) != first)
+        link = np.zeros(int(near.sum()), _LINK)
+        link["a"], link["b"] = members["name"][near], members["name"][first]
+        yield _SURE, link
+
+
 _EDGES = "a long, b long, sure boolean"
 
 
@@ -312,10 +342,9 @@ def _count(batches):
     by = {_PAIR: [], _SURE: [], _CHAIN: []}
     for b in batches:
         for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
-            by[kind].append(np.frombuffer(blob, _LINK))
+            by[kind].append(blob)
     for kind, blobs in by.items():
-        if blobs:
-            x = np.concatenate(blobs)
+        for x in _in_ranges(blobs, _LINK, "a") if blobs else ():
             x = x[np.lexsort((x["b"], x["a"]))]
             first = np.flatnonzero(np.concatenate(([True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1]))))
             times = np.diff(np.concatenate((first, [len(x)])))
@@ -403,20 +432,27 @@ def _compare(batches):
     yield batch(out)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of every row of ``docs`` its doc_id, set size n and class (0 for the empty set); of every class that is linked with another its class, group (a class of it) and component_id."""
     spark = docs.sparkSession
-    parts = partitions(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     census = written(given.mapInArrow(_census, _CENSUS), "jaccard-census")
     members = census.where("class is not null").select("doc_id", "n", "class")
     total = members.agg(F.sum("n")).first()[0] or 0
     least = max(FREQUENT, total >> 20)
+    times = written(census.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")), "jaccard-times")
     # At most total / least, that is 2**20, shingles can be this frequent.
-    rows = census.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("shingle").toArrow()
+    rows = times.where(F.col("times") >= least).select("shingle").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(rows["shingle"].to_numpy().view(np.uint64)))
-
-    dealt = given.select("text").mapInArrow(_lists(frequent, parts), _DEALT).repartition(parts, "part")
+    # The mean length of the list of an entry, without the frequent shingles; sets by size, up to the largest of interest.
+    longer = times.where(F.col("times") < least).agg(F.sum((F.col("times") - 1) * F.col("times"))).first()[0] or 0
+    most = 100 * LARGEST_LIGHT // PERCENT + 1
+    sizes = {r["n"]: r["count"] for r in members.where(F.col("n").between(1, most)).groupBy("n").count().collect()}
+    light = boundary(sizes, 1 + longer / max(1, total))
+    # About a third of all shingles are listed.
+    parts = max(partitions(spark), total * _ENTRY.itemsize // (3 * TASK_BYTES))
+
+    dealt = given.select("text").mapInArrow(_lists(frequent, parts, light), _DEALT).repartition(parts, "part")
     edges = written(dealt.mapInArrow(_scan(parts), _DEALT).repartition(parts, "part").mapInArrow(_count, _EDGES), "jaccard-edges")
 
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
@@ -428,23 +464,57 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("class"), F.col("shares")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.least(k, F.col("_p")).alias("i"), F.greatest(k, F.col("_p")).alias("j")))
     placed = blocks.join(shares, "root").withColumn("_p", part).select("class", "root", F.col("first").alias("doc_id"), tasks.alias("tasks"))
-    texts = given.join(placed.hint("merge"), "doc_id").select("class", "root", F.explode("tasks").alias("_t"), "text").select("root", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "text")
+    # A class whose rows have no id is found by its text instead.
+    unnamed = placed.where("doc_id is null").select("class", "root", "tasks")
+    texts = given.where("doc_id is not null").join(placed.hint("merge"), "doc_id").select("class", "root", "tasks", "text")
+    texts = texts.union(given.where("doc_id is null").select(_class_column(F.col("text")).alias("class"), "text").dropDuplicates(["class"]).join(unnamed.hint("merge"), "class").select("class", "root", "tasks", "text"))
+    texts = texts.select("class", "root", F.explode("tasks").alias("_t"), "text").select("root", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "text")
     links = texts.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "class").mapInArrow(_compare, "a long, b long")
     joined = components(edges.where("sure").select("a", "b").union(links), "jaccard-links")
     whole = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
     named = whole.join(classes.select(F.col("class").alias("node"), "first"), "node")
-    component = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
-    label = classes.join(component, "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))
-    return members.join(label, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    return members, component.select(F.col("node").alias("class"), F.col("root").alias("group"), "component_id")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+    members, component = _labels(docs)
+    held = members.where("n > 0")
+    # Only classes of several rows or of several texts need a label. Both sides of the join are plain
+    # exchanges, so that AQE can split a class that holds a large share of all rows.
+    several = held.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).join(component.select("class", "component_id"), "class", "left")
+    label = written(several.where("rows > 1 or component_id is not null").select("class", F.coalesce("component_id", "first").alias("component_id")), "jaccard-names")
+    named = held.join(label.hint("merge"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.union(members.where("n = 0").select("doc_id", "n", "doc_id"))
+
+
+@F.arrow_udf(LongType())
+def _class_column(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in columns:
+        yield pa.array([class_of(s) for texts in text_slices(column, CHUNK) for s in shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts])], pa.int64())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component: one of each group, with columns unchanged."""
-    found = written(jaccard_components(docs), "jaccard-components")
-    going = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(going.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    count = found.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id"])
+    """One row of ``docs`` of each group of linked texts, with columns unchanged.
+
+    The row with the smallest doc_id stays, of equal ids that of the class with the smallest name, of
+    rows equal in both any one; a null id counts as larger than any other. Rows with different texts
+    that are not linked all stay, whatever their ids. Rows without words are linked with nothing, so
+    all of them stay.
+    """
+    members, component = _labels(docs)
+    whole = members.where("n > 0").groupBy("doc_id", "class").agg(F.lit(1)).join(component.select("class", "group"), "class", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("class")))
+    best = written(whole.groupBy(F.coalesce("group", "class").alias("group")).agg(first.alias("b")).select("b.unnamed", "b.id", "b.class"), "jaccard-kept")
+    text, doc_id = F.col("_doc.text").cast("string"), F.col("_doc.doc_id").cast("long")
+    # The rows go along as one column, so that their names meet none of this plan's.
+    given = docs.select(F.struct(*docs.columns).alias("_doc"))
+    blank = F.coalesce(text, F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    named = given.where(~blank).select("_doc", doc_id.isNull().alias("unnamed"), F.coalesce(doc_id, F.lit(0)).alias("id"), _class_column(text).alias("class"))
+    keys = ["class", "id", "unnamed"]
+    chosen = named.join(best.hint("merge"), keys, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).where("_n = 1")
+    return chosen.select("_doc").union(given.where(blank)).select("_doc.*")
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

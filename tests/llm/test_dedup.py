@@ -103,8 +103,43 @@ def test_short_sets(spark, no_docs):
 def test_one_of_each_group_stays(spark, awkward):
     kept = jaccard_join.keep_one(awkward)
     assert kept.columns == awkward.columns
-    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
+    rows = kept.collect()
+    ids = sorted(r["doc_id"] for r in rows if r["doc_id"] is not None)
     assert {0, 3, 4, 5, 6, 8, 9, 10, 11} <= set(ids) and not {1, 2, 7} & set(ids) and ids.count(8) == 1
+    assert len(ids) == len(rows)  # the row without an id is a copy of row 0
+
+
+def test_no_text_is_lost(spark):
+    from .conftest import docs_of
+
+    texts = [f"{w} is the first of many words here" for w in ("alpha", "beta", "gamma", "delta", "epsilon")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[0]), (7, None), (7, None), (8, " "), (None, texts[1])]
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in jaccard_join.keep_one(docs_of(spark, rows)).collect())
+    assert kept == sorted([("6", texts[0]), ("None", texts[1]), ("None", texts[2]), ("5", texts[3]), ("5", texts[4]), ("7", "None"), ("7", "None"), ("8", " ")])
+
+
+def test_near_copies_without_ids(spark):
+    from .conftest import docs_of, prose
+    import random
+
+    rng = random.Random(8)
+    base = prose(rng, 100).split()
+    rows = [(None, " ".join(base[:k] + ["other"] + base[k + 1 :])) for k in (3, 50, 97)] + [(None, " ".join(base)), (4, prose(rng, 80))]
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
+    assert jaccard_join.keep_one(docs_of(spark, rows)).count() == 2
+
+
+def test_any_boundary_gives_the_same(spark, monkeypatch):
+    import random
+
+    from .conftest import docs_of
+
+    assert jaccard_join.boundary({4: 100}, 500.0) > jaccard_join.boundary({n: 100 for n in range(1, 25)}, 0.5)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 16)))) for i in range(120)]
+    for light in (1, 5, 12):
+        monkeypatch.setattr(jaccard_join, "boundary", lambda *_, light=light: light)
+        assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
 
 
 def test_blocks_apart_from_their_leaders():
