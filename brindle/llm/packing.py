@@ -6,11 +6,12 @@ from long documents first; of the rest a tail of less than about one sequence go
 sequences whose length is a power of two (these are not padded); what remains is cut into
 pieces that differencing deals over windows: partial partitions are kept in a heap by spread,
 the two widest are merged with opposing imbalances until one is left, which gives windows of
-nearly equal length. If a window exceeds the capacity, pieces are halved; once they are small,
-the window count rises instead.
+nearly equal length. Whenever a window exceeds the capacity, the window count rises by one.
 
-Null and empty texts have only the end id. Repeated rows are packed each. Sequence ids are
-unique over the table: partition number, then a running number; a recomputed task gives the same.
+Null and empty texts have only the end id; very long texts are cut over many sequences. Repeated
+rows are packed each, null ids are kept, extra columns are ignored; an empty table gives no
+pieces. Sequence ids are unique over the table: partition number, then a running number; a
+recomputed task gives the same.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from pyspark.sql import functions as F
 from ._util import crc32, strings
 
 CAPACITY, END = 4096, 2
-#: Pieces and tokens of a group; longest piece at first and at last; tokens that each window leaves free.
-GROUP_PIECES, PIECE, LEAST_PIECE, SLACK = 1024, 1024, 64, 8
-#: Bound of each worker's memo of token ids (speed only); characters encoded at once.
-MEMO, CHUNK = 600_000, 1_000_000
+#: Pieces of a group; longest piece; tokens that each window leaves free.
+GROUP_PIECES, PIECE, SLACK = 2048, 512, 8
+#: Bound of each worker's memo of token ids (speed and memory only); bytes encoded at once.
+MEMO, CHUNK = 300_000, 1 << 20
 
 # Texts with other characters than these are left whole to the tokenizer.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏ]")
-# Whole runs of ASCII marks but the apostrophe, which the tokenizer may join to letters.
-MARKS = re.compile(r"(?<![^\w\s])[!-&(-/:-@\[-`{-~]+(?![^\w\s])")
+# Whole runs of ASCII marks, '_' being one, but the apostrophe, which the tokenizer may join to letters. A run next to any other mark is left to the tokenizer.
+MARKS = re.compile(r"(?<![^\w\s])(?<!_)[!-&(-/:-@\[-`{-~]+(?![^\w\s])(?!_)")
 
 
 class Encoder:
@@ -183,16 +184,12 @@ def pack(spans: list[tuple[int, int, int]], capacity: int = CAPACITY) -> list[li
         tails.append(sequence)
     if not k:
         return full + tails
-    most = PIECE
+    pieces = _cut(rest, PIECE)
     while True:
-        pieces = _cut(rest, most)
         windows = differencing([x[2] for x in pieces], k)
         if max(sum(pieces[i][2] for i in w) for w in windows) <= capacity:
             return full + [[pieces[i] for i in w] for w in windows if w] + tails
-        if most > LEAST_PIECE:
-            most //= 2
-        else:
-            k += 1
+        k += 1
 
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
