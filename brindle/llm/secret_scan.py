@@ -2,16 +2,18 @@
 
 Base spans come from three patterns (assign, access, hex). The battery looks at longer tokens
 that hold a digit and a letter: their encoding is inferred from their letters (hex, base32 or
-base64 alphabet), then chi-squared uniformity over that alphabet, a runs test about its middle
-and a lag-1 serial-correlation test must all be in keeping with random letters. Against the
-opposite hypothesis, that a token is text, the numbers of repeated letters and of changes
-between letter classes give a p-value; these are cut by Benjamini-Hochberg control of false
-discoveries within each length class, over the tokens of all documents (from a histogram of the
-p-values, of fixed size). Survivors that touch no base span are added as kind ``random``.
+base64 alphabet). Against the hypothesis that a token is text, each of three tests gives a
+p-value: the chi-squared statistic of uniformity over that alphabet is smaller than that of text,
+the runs of letter classes are more, the lag-1 serial correlation is lower. Fisher's method
+combines the three. A token that the same statistics set apart from random letters, too (any of
+chi-squared, runs about the alphabet's middle, serial correlation by more than ``DEVIATION``
+standard units), has the p-value 1. All tokens of all documents then go through
+Benjamini-Hochberg control of false discoveries within each length class (from a histogram of the
+p-values, of fixed size). Discoveries that touch no base span are added as kind ``random``.
 
 Spans are code points, end exclusive. Null and empty texts have no spans and the digest of the
-empty text. Repeated rows are each scanned; an empty table gives an empty table; extra columns
-are ignored.
+empty text; very long texts are scanned whole. Repeated rows are each scanned; an empty table
+gives an empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A
 
 #: Allowed share of false discoveries; largest deviation, in standard units, of the three randomness tests.
 FDR, DEVIATION = 0.01, 3.3
-#: Under the text hypothesis: chance that two letters agree, chance that neighbours change class.
-AGREE, CHANGE = 0.065, 0.15
-#: Width of the histogram's bins in log p; length classes are powers of two.
-BIN = 0.25
+#: Under the text hypothesis: chance that two letters agree, chance that neighbours change class, serial correlation.
+AGREE, CHANGE, SERIAL = 0.065, 0.15, 0.2
+#: Width of the histogram's bins in log p, and their number (the last holds all beyond); length classes are powers of two.
+BIN, BINS = 0.25, 4000
+#: Code points of the pieces that a text to be masked is cut into.
+CHUNK = 4096
 _PART = 256
 
 
@@ -48,10 +52,9 @@ def _spans(df: DataFrame, name: str, pattern: str) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     df = df.withColumn(found, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     df = df.withColumn(parts, F.when(some, F.split("text", pattern, -1)))
-    df = df.withColumn(
-        steps,
-        F.when(some, F.transform(found, lambda m, i: (F.char_length(F.get(F.col(parts), i)) + F.when(i > 0, F.char_length(F.get(F.col(found), i - 1))).otherwise(0)).cast("long"))),
-    ).drop(parts)
+    # What stands before each match and after the one before; nothing is looked up by place, as the optimizer may put the split inside such a lookup.
+    before = F.concat(F.array(F.lit("")), found)
+    df = df.withColumn(steps, F.when(some, F.zip_with(parts, before, lambda p, m: (F.char_length(p) + F.char_length(m)).cast("long")))).drop(parts)
     # Prefix sums in two levels, so that a text with very many matches costs no square of them.
     df = df.withColumn("_b", F.transform(F.sequence(F.lit(0), F.expr(f"int((size({found}) - 1) div {_PART})")), lambda b: total(F.slice(F.col(steps), b * _PART + 1, F.lit(_PART)))))
     df = df.withColumn("_before", F.transform("_b", lambda _, b: total(F.slice(F.col("_b"), F.lit(1), b))))
@@ -61,6 +64,11 @@ def _spans(df: DataFrame, name: str, pattern: str) -> DataFrame:
     return df.withColumn(name, F.when(some, spans).otherwise(empty)).drop(found, steps, "_b", "_before")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once, however often the body looks into it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _counts(token: Column) -> Column:
     """How often each distinct letter stands in ``token``."""
     return F.transform(F.array_distinct(F.split(token, "")), lambda c: (F.char_length(token) - F.char_length(F.replace(token, c, F.lit("")))).cast("double"))
@@ -79,7 +87,7 @@ def _tail(z: Column) -> Column:
 
 
 def _tested(tokens: DataFrame) -> DataFrame:
-    """For rows with a column ``token``: whether its letters pass for random, log p of being text, and length class."""
+    """For rows with a column ``token``: log of the combined p-value of its being text, and length class."""
     t = F.regexp_replace("token", "=+$", "")
     alphabet = (
         F.when(F.col("body").rlike("^[0-9a-f]+$"), F.lit(_DIGIT + "abcdef"))
@@ -113,18 +121,22 @@ def _tested(tokens: DataFrame) -> DataFrame:
     runs = F.abs(F.col("runs") - expected) / deviation
     serial = F.when(F.col("spread") > 0, F.abs(F.col("cross") / F.col("spread")) * F.sqrt(n)).otherwise(F.lit(99.0))
     one_sided = F.least(up, down) < 0.12 * n  # all letters in one half of the alphabet
-    df = df.withColumn("random", (F.abs(chi) < DEVIATION) & (runs < DEVIATION) & (serial < DEVIATION) & ~one_sided)
-    # Against text: few agreeing pairs (about Poisson) and many changes of class (about binomial).
+    random = (F.abs(chi) < DEVIATION) & (runs < DEVIATION) & (serial < DEVIATION) & ~one_sided
+    # Against text: few agreeing pairs, by which chi-squared is small (about Poisson), many changes of class (about binomial), less correlation (about normal).
     agree = (F.col("squares") - n) / 2
     hoped = n * (n - 1) / 2 * AGREE
     few = _tail((hoped - agree - 0.5) / F.sqrt(hoped * 1.5))
     many = _tail((F.col("changes") - 0.5 - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE)))
-    return df.withColumn("log_p", few + many).withColumn("class", F.floor(F.log2(n)).cast("int"))
+    low = F.when(F.col("spread") > 0, _tail((SERIAL - F.col("cross") / F.col("spread")) * F.sqrt(n / 1.5))).otherwise(F.lit(0.0))
+    # Fisher: twice the sum is chi-squared with six degrees of freedom.
+    df = df.withColumn("total", -(few + many + low))
+    fisher = F.least(-F.col("total") + F.log(1 + F.col("total") + F.col("total") * F.col("total") / 2), F.lit(0.0))
+    return df.withColumn("log_p", F.when(random, fisher).otherwise(F.lit(0.0))).withColumn("class", F.floor(F.log2(n)).cast("int"))
 
 
 def _limits(tested: DataFrame) -> dict[int, float]:
-    """Largest accepted log p of each length class by Benjamini-Hochberg on the histogram."""
-    bins = tested.groupBy("class", F.floor(-F.col("log_p") / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()  # classes x bins, of fixed number
+    """Largest accepted log p of each length class by Benjamini-Hochberg on the histogram of all tested tokens."""
+    bins = tested.groupBy("class", F.least(F.floor(-F.col("log_p") / BIN), F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()  # classes x bins, of fixed number
     out: dict[int, float] = {}
     for c in {r["class"] for r in bins}:
         own = sorted(((r["bin"], r["n"]) for r in bins if r["class"] == c), reverse=True)
@@ -149,7 +161,7 @@ def find_spans(docs: DataFrame, *kept: Column) -> DataFrame:
     df = df.withColumn("candidate", F.filter("candidate", free)).select(*names, "base", "candidate")
     df = written(df.withColumn("_row", F.expr("uuid()")), "secret-spans")
     tokens = df.where(F.size("candidate") > 0).select("_row", F.explode("candidate").alias("c")).select("_row", "c.start", "c.end", "c.token")
-    tested = written(_tested(tokens).where("random").select("_row", "start", "end", "log_p", "class"), "secret-tests")
+    tested = written(_tested(tokens).select("_row", "start", "end", "log_p", "class"), "secret-tests")
     limits = _limits(tested)
     keep = F.lit(False)
     for c, limit in sorted(limits.items()):
@@ -184,12 +196,32 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     found = find_spans(docs, F.struct(*docs.columns).alias("_doc"))
     spans = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     parts = found.select("_doc", F.col("_doc.text").cast("string").alias("text"), spans.alias("_spans"))
-    # The text from the end of the spans before to the start of each; spans that overlap leave nothing between.
-    ends = F.transform("_spans", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("_spans", F.lit(1), i), lambda p: p["end"])), F.lit(0).cast("long")))
-    piece = lambda s, i: F.concat(F.substring(F.col("text"), (F.get("_ends", i) + 1).cast("int"), F.greatest(s["start"] - F.get("_ends", i), F.lit(0)).cast("int")), F.when((s["start"] >= F.get("_ends", i)), F.lit(mark)).otherwise(F.lit("")))
-    last = F.array_max(F.transform("_spans", lambda s: s["end"]))
-    clean = F.concat(F.array_join(F.transform("_spans", piece), ""), F.substring(F.col("text"), (last + 1).cast("int"), F.char_length("text")))
-    out = parts.withColumn("_ends", ends).withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
+    some = F.size("_spans") > 0
+    # How far the spans before each reach: by groups of _PART spans, so that many spans cost no square of them.
+    end = lambda a: F.array_max(F.transform(a, lambda s: s["end"]))
+    groups = F.sequence(F.lit(0), F.expr(f"int((size(_spans) - 1) div {_PART})"))
+    most = F.transform(groups, lambda g: end(F.slice("_spans", g * _PART + 1, F.lit(_PART))))
+    before = lambda m: F.transform(m, lambda _, g: F.coalesce(F.array_max(F.slice(m, F.lit(1), g)), F.lit(0).cast("long")))
+    ends = lambda b: F.transform("_spans", lambda s, i: F.greatest(F.get(b, (i / _PART).cast("int")), end(F.slice("_spans", i - i % _PART + 1, i % _PART))))
+    parts = parts.withColumn("_ends", F.when(some, _let(most, lambda m: _let(before(m), ends))))
+    # Texts are cut into chunks, so that what stands between two spans is found without reading the text from its start.
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        """The text from code point a to b."""
+        first, last = (a / CHUNK).cast("int"), (b / CHUNK).cast("int")
+        head = F.substring(F.get(chunks, first), (a % CHUNK + 1).cast("int"), F.least(b - a, F.lit(CHUNK)).cast("int"))
+        middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.substring(F.get(chunks, last), F.lit(1), (b % CHUNK).cast("int"))
+        return F.when(b <= a, F.lit("")).when(first == last, head).otherwise(F.concat(head, middle, F.coalesce(tail, F.lit(""))))
+
+    # Spans that overlap leave nothing between, and one mark.
+    def clean(chunks: Column, ends: Column) -> Column:
+        piece = lambda s, i: F.concat(between(chunks, F.get(ends, i), s["start"]), F.when(s["start"] >= F.get(ends, i), F.lit(mark)).otherwise(F.lit("")))
+        return F.concat(F.array_join(F.transform("_spans", piece), ""), between(chunks, end(F.col("_spans")), F.char_length("text").cast("long")))
+
+    both = _let(chunks, lambda c: _let(F.col("_ends"), lambda e: clean(c, e)))
+    out = parts.withColumn("_clean", F.when(some, both).otherwise(F.col("text")))
     given = lambda c: F.col("_doc")[c]
-    size = lambda: F.when(F.size("_spans") > 0, F.char_length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(given("n_chars"))
+    size = lambda: F.when(some, F.char_length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(given("n_chars"))
     return out.select(*((F.col("_clean") if c == "text" else size() if c == "n_chars" else given(c)).alias(c) for c in docs.columns))

@@ -136,6 +136,15 @@ def test_encoder_is_the_tokenizer():
         assert next(e.encode([x])).tolist() == e._exact(x).tolist()
 
 
+def test_encoder_on_random_texts():
+    rng = random.Random(11)
+    encoder = packing.Encoder(tokenizer_path())
+    letters = "aB1_'.\"-(){}[]<|>!~ \t\n,;:x s t e é ü@#%^&*+=/\\?`$"
+    texts = ["__init__('x')", "(_'", "'_."] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_differencing_and_padding():
     rng = random.Random(1)
     sizes = [rng.randint(1, 1024) for _ in range(900)]
@@ -282,3 +291,58 @@ def test_random_values_of_unlisted_names(spark):
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs).collect()}
     assert all(values[i] not in clean[i] for i in hit)
     assert [len(re.findall(secret_scan.CANDIDATE, t)) for t in ("AUTH=wJalrXUtnFEMI7K9MDENGbPxRfiCYz", "sig=9f8A7dQz3LmN0pXvB2cR6tYw", "CLIENT_SESSION_KEY_NAME=abc1")] == [1, 1, 0]
+
+
+def test_masking_is_linear_and_keeps_clashing_names(spark):
+    import time
+
+    names = ["_b", "_before", "_text", "_given", "_spans", "_ends", "_chunks", "_row", "_doc", "assign", "base", "added"]
+    long = "é word token=abcdef 😀 " * 9000
+    rows = [(1, long, len(long), *["k"] * len(names)), (2, "x" * 5000 + " secret=abcdefgh", 5016, *["k"] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    began = time.time()
+    clean = {r["doc_id"]: r for r in secret_scan.redact_secrets(docs).collect()}
+    assert time.time() - began < 60
+    assert clean[1]["text"] == "é word [SECRET] 😀 " * 9000 and clean[2]["text"] == "x" * 5000 + " [SECRET]"
+    assert all(clean[1][n] == "k" for n in names)
+
+
+def test_battery_as_brute_force(spark):
+    import math
+
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choice(letters) for _ in range(rng.randint(16, 60))) + "a1B" for _ in range(60)] + [f"{rng.choice('abc')}some{k}longerword{k}inatext{k}" for k in range(60)]
+
+    def tail(z):
+        return -z * z / 2 - math.log(1 + z * math.sqrt(math.pi / 2)) if z > 0 else 0.0
+
+    def log_p(t):
+        alphabet = "0123456789" + letters[26:52] if re.fullmatch("[a-z0-9]+", t) else letters
+        n, size, codes = len(t), len(alphabet), [alphabet.index(c) for c in t]
+        squares = sum(t.count(c) ** 2 for c in set(t))
+        chi = (size / n * squares - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+        up = [c >= size / 2 for c in codes]
+        hi, lo = sum(up), n - sum(up)
+        expected = 2 * hi * lo / n + 1
+        runs = abs(1 + sum(a != b for a, b in zip(up, up[1:])) - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0.25))
+        mean = sum(codes) / n
+        serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / sum((a - mean) ** 2 for a in codes)
+        if abs(chi) >= 3.3 or runs >= 3.3 or abs(serial) * math.sqrt(n) >= 3.3 or min(hi, lo) < 0.12 * n:
+            return 0.0
+        kind = [1 if c.isdigit() else 2 if c.isupper() else 3 for c in t]
+        changes = sum(a != b for a, b in zip(kind, kind[1:]))
+        hoped = n * (n - 1) / 2 * 0.065
+        parts = tail((hoped - (squares - n) / 2 - 0.5) / math.sqrt(hoped * 1.5)), tail((changes - 0.5 - (n - 1) * 0.15) / math.sqrt((n - 1) * 0.15 * 0.85)), tail((0.2 - serial) * math.sqrt(n / 1.5))
+        total = -sum(parts)
+        return min(0.0, -total + math.log(1 + total + total * total / 2))
+
+    tested = secret_scan._tested(spark.createDataFrame([(t,) for t in tokens], "token string"))
+    got = {r["token"]: (r["log_p"], r["class"]) for r in tested.collect()}
+    want = {t: (log_p(t), int(math.log2(len(t)))) for t in tokens}
+    assert all(abs(got[t][0] - want[t][0]) < 1e-6 and got[t][1] == want[t][1] for t in tokens)
+    limits = secret_scan._limits(tested)
+    for c in {k for _, k in want.values()}:
+        bins = sorted((math.floor(-p / 0.25) for p, k in want.values() if k == c), reverse=True)
+        passing = [b for b in bins if math.exp(-b * 0.25) * len(bins) / sum(x >= b for x in bins) <= 0.01]
+        assert limits.get(c) == (-min(passing) * 0.25 if passing else None)
