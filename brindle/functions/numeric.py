@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,15 +59,20 @@ def truncate(x, digits=None):
 scalar("rand")(lambda *seed: F.rand() if not seed else F.call_function("rand", seed[0]))
 
 
-def _euclid(a, b):
-    """Greatest common divisor; 93 steps do for any pair of 64-bit numbers."""
-    start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
-    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.pmod(s["a"], F.when(s["b"] == 0, 1).otherwise(s["b"]))).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step)["a"]
+def _paired(f):
+    """``f`` of two columns of 64-bit numbers, in Arrow batches; NULL where either is."""
 
+    @F.arrow_udf(T.LongType())
+    def g(a: pa.Array, b: pa.Array) -> pa.Array:
+        empty = pc.or_(pc.is_null(a), pc.is_null(b))
+        x, y = (pc.fill_null(c, 0).to_numpy(zero_copy_only=False) for c in (a, b))
+        return pc.if_else(empty, pa.scalar(None, pa.int64()), pa.array(f(x, y), pa.int64()))
 
-scalar("gcd")(_euclid)
-scalar("lcm")(lambda a, b: F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(a.cast("long") * b.cast("long")) / _euclid(a, b)).cast("long"))
+    return lambda a, b: g(a.cast("long"), b.cast("long"))
+
+
+scalar("gcd")(_paired(np.gcd))
+scalar("lcm")(_paired(np.lcm))
 
 
 @scalar("even")

@@ -37,20 +37,21 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.size(tokens(F.col(text))).alias("l")).agg(F.count("*").cast("double").alias("n"), F.avg("l").alias("mean"))
 
 
-def bm25(docs: DataFrame, query: list[str], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, query: list[str], id_column: str = "doc_id", text: str = "text", boosts: dict[str, float] | None = None) -> DataFrame:
     """doc and score of every document that holds a term of the query; terms of negative idf score 0.
 
-    One pass counts the query's terms in each document; only documents with a hit are shuffled.
+    One pass counts the query's terms in each document; no text is shuffled. A text is cut into
+    words once: the words are bound to a variable, which the optimizer does not write out again.
     """
-    words = docs.select(F.col(id_column).alias("doc"), tokens(F.col(text)).alias("w")).select("doc", F.size("w").alias("length"), "w")
     terms = list(dict.fromkeys(query))
-    counted = words.select("doc", "length", *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    count = lambda w: F.struct(F.size(w).alias("length"), *[F.size(F.filter(w, _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = docs.select(F.col(id_column).alias("doc"), F.get(F.transform(F.array(tokens(F.col(text))), count), F.lit(0)).alias("_c")).select("doc", "_c.*")
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i, t in enumerate(terms):
         idf = F.greatest(F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(0.0))
         tf = F.col(f"tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        score = score + (boosts or {}).get(t, 1.0) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     whole = stats.select(F.struct("*")).scalar()
     known = counted.withColumn("_s", whole).select("*", "_s.*")
     return known.select("doc", score.alias("score")).where("score > 0")
@@ -118,8 +119,8 @@ def highlight(text: Column, terms: list[str], pre: str = "<em>", post: str = "</
 
 
 def parse_query(text: str) -> dict[str, list]:
-    """A query string: +must, -must_not, "phrase", OR, NOT, term^boost, term~n, field:term."""
-    out: dict[str, list] = {"must": [], "must_not": [], "should": [], "phrases": [], "fuzzy": [], "fields": []}
+    """A query string: +must, -must_not, "phrase", OR, NOT, term^boost, term~n, field:term; boosts as pairs (term, boost)."""
+    out: dict[str, list] = {"must": [], "must_not": [], "should": [], "phrases": [], "fuzzy": [], "fields": [], "boosts": []}
     to = "should"
     for m in re.finditer(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))', text):
         sign, field, quoted, word = m.groups()
@@ -135,7 +136,10 @@ def parse_query(text: str) -> dict[str, list]:
         elif field:
             out["fields"].append((field, word))
         else:
-            out[kind].append(re.sub(r"\^[\d.]+$", "", word).lower())
+            term, _, boost = word.lower().partition("^")
+            out[kind].append(term)
+            if boost:
+                out["boosts"].append((term, float(boost)))
     return out
 
 
@@ -156,3 +160,107 @@ def fuse_weighted(lists: list[tuple[DataFrame, float]]) -> DataFrame:
         scaled = one.select("doc", (weight * F.col("score") / top_score).alias("score"))
         union = scaled if union is None else union.unionByName(scaled)
     return union.groupBy("doc").agg(F.sum("score").alias("score"))
+
+
+# --- further queries ------------------------------------------------------------------------------
+
+
+def _found(docs: DataFrame, condition: Column, id_column: str) -> DataFrame:
+    return docs.where(condition).select(F.col(id_column).alias("doc"), F.lit(1.0).alias("score"))
+
+
+def match_all(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Every document, with score 1."""
+    return _found(docs, F.lit(True), id_column)
+
+
+def match_none(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    return _found(docs, F.lit(False), id_column)
+
+
+def in_range(docs: DataFrame, column: str, low=None, high=None, with_low: bool = True, with_high: bool = True, id_column: str = "doc_id") -> DataFrame:
+    """Documents whose field lies between the bounds; None is no bound."""
+    c, condition = F.col(column), F.col(column).isNotNull()
+    if low is not None:
+        condition = condition & (c >= low if with_low else c > low)
+    if high is not None:
+        condition = condition & (c <= high if with_high else c < high)
+    return _found(docs, condition, id_column)
+
+
+def exists(docs: DataFrame, column: str, id_column: str = "doc_id") -> DataFrame:
+    """Documents that have the field."""
+    return _found(docs, F.col(column).isNotNull(), id_column)
+
+
+def term_set(docs: DataFrame, terms: list[str], least: int = 1, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that hold at least ``least`` of the terms."""
+    return _found(docs, F.size(F.array_intersect(tokens(F.col(text)), F.array(*map(F.lit, terms)))) >= least, id_column)
+
+
+def prefix(docs: DataFrame, start: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents with a word that begins with ``start``."""
+    return _found(docs, F.exists(tokens(F.col(text)), lambda w: F.startswith(w, F.lit(start.lower()))), id_column)
+
+
+def phrase_prefix(docs: DataFrame, words: list[str], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that hold the words in order, the last one at least as the start of a word."""
+    pattern = r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(re.escape(w.lower()) for w in words)
+    return _found(docs, F.lower(F.col(text)).rlike(pattern), id_column)
+
+
+def regex(docs: DataFrame, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents with a word that the pattern matches as a whole."""
+    return _found(docs, F.exists(tokens(F.col(text)), lambda w: w.rlike(f"^(?:{pattern})$")), id_column)
+
+
+def nested(docs: DataFrame, column: str, condition, id_column: str = "doc_id") -> DataFrame:
+    """Documents of whose array field an element meets ``condition``, a function of the element."""
+    return _found(docs, F.exists(column, condition), id_column)
+
+
+def function_score(found: DataFrame, docs: DataFrame, factor: Column, id_column: str = "doc_id") -> DataFrame:
+    """The scores of ``found`` times a function of the document's fields."""
+    factors = docs.select(F.col(id_column).alias("doc"), factor.cast("double").alias("_f"))
+    return found.join(factors, "doc").select("doc", (F.col("score") * F.col("_f")).alias("score"))
+
+
+def run_query(docs: DataFrame, query: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc and score of the documents that a query string finds.
+
+    Required terms, phrases and fields must hold, excluded terms must not; without any required part
+    at least one optional term or near word must. The score is BM25 over required and optional
+    terms, each times its boost; a document that has none of them scores 0.
+    """
+    q = parse_query(query)
+    near = lambda w, t, n: F.exists(w, lambda x: (F.abs(F.char_length(x) - len(t)) <= n) & (F.levenshtein(x, F.lit(t)) <= n))
+
+    def holds(w: Column) -> Column:
+        out = F.lit(True)
+        for t in q["must"]:
+            out = out & F.array_contains(w, t)
+        for t in q["must_not"]:
+            out = out & ~F.array_contains(w, t)
+        optional = [F.array_contains(w, t) for t in q["should"]] + [near(w, t, n) for t, n in q["fuzzy"]]
+        if optional and not (q["must"] or q["phrases"] or q["fields"]):
+            out = out & F.greatest(*optional, F.lit(False))
+        return out
+
+    kept = docs
+    for field, value in q["fields"]:
+        kept = kept.where(F.lower(F.col(field).cast("string")) == value.lower())
+    for p in q["phrases"]:
+        pattern = r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, p)) + r"(?![\p{L}\p{N}])"
+        kept = kept.where(F.lower(F.col(text)).rlike(pattern))
+    ids = kept.where(F.get(F.transform(F.array(tokens(F.col(text))), holds), F.lit(0))).select(F.col(id_column).alias("doc"))
+    terms = q["must"] + q["should"]
+    if not terms:
+        return ids.select("doc", F.lit(0.0).alias("score"))
+    return ids.join(bm25(docs, terms, id_column, text, dict(q["boosts"])), "doc", "left").select("doc", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def match_against(docs: DataFrame, query: str, boolean_mode: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """MATCH (text) AGAINST (query): documents of a positive BM25 score, or those that the query string finds in boolean mode."""
+    if boolean_mode:
+        return run_query(docs, query, id_column, text)
+    return bm25(docs, [w for w in re.split(r"[\W_]+", query.lower()) if len(w) > 1], id_column, text)

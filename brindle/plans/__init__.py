@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, relational
+from . import further, library, relational
 from .tables import sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = {name: (lambda spark, sf_dir, text=text: sql(spark, sf_dir, text)) for name, text in relational.SQL.items()}
-    return made | library.QUERIES
+    return made | library.QUERIES | further.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return relational.SQL | library.ORACLE
+    return relational.SQL | library.ORACLE | further.ORACLE

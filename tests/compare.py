@@ -21,9 +21,9 @@ def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 4) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 4) + 0.0
+        return float(v) + 0.0
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     return v
@@ -37,13 +37,14 @@ def same(df, con, text: str) -> str:
     if sorted(names) != cols:
         return f"columns {cols} and {sorted(names)}"
     order = [names.index(c) for c in cols]
-    key = lambda r: tuple((v is None, str(v)) for v in r)
+    # Rows are put in order by rounded values and compared by the values themselves.
+    key = lambda r: tuple((v is None, str(round(v, 4) if isinstance(v, float) else v)) for v in r)
     a = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=key)
     b = sorted((tuple(plain(r[i]) for i in order) for r in result.fetchall()), key=key)
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
     for x, y in zip(a, b):
-        bad = [(c, p, q) for c, p, q in zip(cols, x, y) if p != q and not (isinstance(p, (int, float)) and isinstance(q, (int, float)) and math.isclose(p, q, rel_tol=1e-6, abs_tol=1e-3))]
+        bad = [(c, p, q) for c, p, q in zip(cols, x, y) if p != q and not (isinstance(p, (int, float)) and isinstance(q, (int, float)) and math.isclose(p, q, rel_tol=1e-8, abs_tol=1e-9))]
         if bad:
             return f"{bad[:3]}"
     return ""

@@ -20,6 +20,9 @@ CASES = [
     ("st_area", ("POLYGON((0 0,10 0,10 10,0 10,0 0),(2 2,4 2,4 4,2 4,2 2))",), 96.0), ("st_distance", ("POINT(0 0)", "LINESTRING(3 4,10 4)"), 5.0),
     ("st_touches", ("POLYGON((0 0,1 0,1 1,0 1,0 0))", "POLYGON((1 0,2 0,2 1,1 1,1 0))"), True), ("st_isvalid", ("POLYGON((0 0,1 0,1 1,0 0))",), True),
     ("st_srid", ("SRID=4326;POINT(1 2)",), 4326), ("st_geometrytype", ("POINT EMPTY",), "Point"), ("st_isempty", ("POINT EMPTY",), True), ("typeof", (1,), "INTEGER"),
+    ("hmac_sha256", ("data", "key"), "5031fe3d989c6d1537a013fa6e739da23463fdaec3b70137d828e36ace221bd0"), ("weekday", ("2025-06-15",), 6), ("timestampdiff", ("month", "2025-01-15", "2025-06-15"), 5),
+    ("sha512", ("abc",), "ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f"),
+    ("column_type", (1,), "int"), ("database", (), "default"), ("gcd", (None, 6), None), ("gcd", (0, 0), 0), ("lcm", (-4, 6), 12),
 ]
 
 
@@ -33,6 +36,21 @@ def test_all_names_are_there():
     assert len(SCALAR) + len(AGGREGATE) >= 299
 
 
+def test_random_values(spark):
+    row = spark.range(1).select(call("random").alias("r"), call("rand").alias("s"), call("uuid_short").alias("u"), call("user").alias("w"), call("uuid").alias("v")).first()
+    assert 0 <= row["r"] < 1 and 0 <= row["s"] < 1 and len(row["u"]) == 12 and row["w"] and len(row["v"]) == 36
+
+
+def test_query_strings(spark):
+    from brindle.operators import fulltext
+
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "red dog"), (3, "a fox and a dog"), (4, None), (5, "")], "doc_id long, text string")
+    found = lambda q: sorted(r["doc"] for r in fulltext.run_query(docs, q).collect())
+    assert found("+fox -red") == [3] and found("fox dog") == [1, 2, 3] and found('"red fox"') == [1] and found("foxx~1") == [1, 3] and found("doc_id:2") == [2]
+    assert fulltext.parse_query("a^2.5 b")["boosts"] == [("a", 2.5)]
+    assert sorted(r["doc"] for r in fulltext.match_against(docs, "runs").collect()) == [1]
+
+
 def test_month_end_runs_on(spark):
     assert str(spark.range(1).select(call("date_add", "2024-01-31", 1, by="month").alias("v")).first()[0]) == "2024-03-02 00:00:00"
 
