@@ -41,11 +41,12 @@ def bm25(docs: DataFrame, query: list[str], id_column: str = "doc_id", text: str
     """doc and score of every document that holds a term of the query; terms of negative idf score 0.
 
     One pass counts the query's terms in each document; no text is shuffled. A text is cut into
-    words once: the words are bound to a variable, which the optimizer does not write out again.
+    words once: they are bound to a variable, and the counts come out of a generator, below which
+    the optimizer does not push the condition on the score.
     """
     terms = list(dict.fromkeys(query))
     count = lambda w: F.struct(F.size(w).alias("length"), *[F.size(F.filter(w, _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    counted = docs.select(F.col(id_column).alias("doc"), F.get(F.transform(F.array(tokens(F.col(text))), count), F.lit(0)).alias("_c")).select("doc", "_c.*")
+    counted = docs.select(F.col(id_column).alias("doc"), F.explode(F.transform(F.array(tokens(F.col(text))), count)).alias("_c")).select("doc", "_c.*")
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i, t in enumerate(terms):
