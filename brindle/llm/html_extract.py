@@ -9,8 +9,9 @@ boilerplate is content, so ancestors and descendants never contradict each other
 The ensembles are trained here, on pages composed by ``training_pages`` (``TRAIN_PAGES`` of them,
 a bounded, seeded sample of page layouts with known labels), as the tables hold no labels.
 
-Null and empty pages, and pages without main content, give the empty text. Repeated rows are each
-extracted. Extra columns are ignored.
+Null and empty pages, and pages without main content, give the empty text. Very long pages are
+parsed whole, in time that grows with their length. Repeated rows are each extracted. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,16 @@ from pyspark.sql import functions as F
 from . import gbdt
 from ._util import strings
 
-TRAIN_PAGES, SEED = 500, 7
+TRAIN_PAGES, SEED = 700, 7
 #: Pages whose nodes are classified together.
 CHUNK = 256
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|textarea|select|button|title|object|canvas"
+# Elements whose content is text up to their end tag; elements that hold no text of the page; what may stand in a head.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+HIDDEN = frozenset("button select object canvas template noscript svg".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr acronym".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 ENDS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -53,16 +58,96 @@ TOKENS = {
 GROUPS = list(TOKENS)
 TOKEN_GROUP = {t: i for i, g in enumerate(GROUPS) for t in TOKENS[g]}
 
-MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: One attribute, or the end of the tag: a value in quotes counts as such only after '='.
+PART = re.compile(r"[\s/]*(?:(>)|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[^\s>]*))?)")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class Tokens:
+    """Cuts a page into text, start tags and end tags, in time that grows with its length.
+
+    Items are (kind, name, value): ("text", "", text), ("start", name, attributes), ("end", name, "").
+    Comments, declarations and the content of ``RAW`` elements are left out; a raw element without an
+    end tag is only a tag. A quote that is never closed is part of an unquoted value; a tag that is
+    never closed ends the page.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.lower = source.lower() if len(source.lower()) == len(source) else re.sub("[A-Z]+", lambda m: m[0].lower(), source)
+        self.none_after: dict[str, int] = {}  # from where on there is no end tag of a name
+
+    def end_tag(self, name: str, at: int) -> int:
+        """Where the next end tag of ``name`` begins, or -1."""
+        if self.none_after.get(name, len(self.source)) <= at:
+            return -1
+        pattern, k = "</" + name, at
+        while (k := self.lower.find(pattern, k)) >= 0:
+            after = self.lower[k + len(pattern) : k + len(pattern) + 1]
+            if not after or after in "\t\n\f\r />":
+                return k
+            k += len(pattern)
+        self.none_after[name] = at
+        return -1
+
+    def tag_stop(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends, after its '>'; -1 if nowhere."""
+        source, n = self.source, len(self.source)
+        while at < n:
+            m = PART.match(source, at)
+            if not m or m.end() == at:
+                return -1
+            at = m.end()
+            if m[1]:
+                return at
+        return -1
+
+    def __iter__(self):
+        source, n, at = self.source, len(self.source), 0
+        while at < n:
+            k = source.find("<", at)
+            if k < 0:
+                yield "text", "", source[at:]
+                return
+            m = TAG.match(source, k)
+            if m:
+                if k > at:
+                    yield "text", "", source[at:k]
+                name, stop = m[2].lower(), self.tag_stop(m.end())
+                if stop < 0:
+                    return
+                at = stop
+                if m[1]:
+                    yield "end", name, ""
+                    continue
+                yield "start", name, source[m.end() : stop - 1]
+                if name in RAW and (close := self.end_tag(name, at)) >= 0:
+                    at = close
+            elif source.startswith(("<!", "<?", "</"), k):
+                if k > at:
+                    yield "text", "", source[at:k]
+                if source.startswith("<!--", k):
+                    close = source.find("-->", k + 2)
+                    at = close + 3 if close >= 0 else n
+                else:
+                    close = source.find(">", k)
+                    at = close + 1 if close >= 0 else n
+            else:
+                k = source.find("<", k + 1)
+                k = n if k < 0 else k
+                yield "text", "", source[at:k]
+                at = k
+
+
 class Page:
-    """Block nodes in page order (parents first) and the runs of text that they own."""
+    """Block nodes in page order (parents first) and the runs of text that they own.
+
+    What a ``HIDDEN`` element holds is left out up to its end tag; one that is not closed before the
+    block around it, or not at all before a block begins, ends there.
+    """
 
     def __init__(self, source: str):
         self.tag, self.parent, self.attrs = ["#root"], [-1], [""]
@@ -76,12 +161,13 @@ class Page:
         tag, parent, attrs, runs, links, inline = self.tag, self.parent, self.attrs, self.runs, self.links, self.inline
         open_run: list[str] | None = None
         in_link = 0
-        at = 0
         head = False
+        hidden, inner, closed = "", [], False  # the hidden element, the elements open in it, whether its end tag follows
+        tokens = Tokens(source)
 
         def text(raw: str) -> None:
             nonlocal open_run
-            if head or not raw:
+            if not raw:
                 return
             if open_run is None:
                 if raw.isspace():
@@ -92,26 +178,54 @@ class Page:
             if in_link:
                 links[stack[-1][1]] += len(raw)
 
-        for m in MARKUP.finditer(source):
-            if m.start() > at:
-                text(source[at : m.start()])
-            at = m.end()
-            name = m[3]
-            if name is None:
+        ends = Counter(name for kind, name, _ in Tokens(source) if kind == "end" and name in HIDDEN) if any(f"<{h}" in tokens.lower for h in HIDDEN) else Counter()
+        for kind, name, value in tokens:
+            if kind == "end" and name in ends:
+                ends[name] -= 1
+            if hidden:
+                if kind == "start" and name not in VOID and not (hidden == "svg" and value.endswith("/")):
+                    if closed or name in INLINE or name in HIDDEN:
+                        inner.append(name)
+                        continue
+                    hidden = ""  # a block begins in an element that is never closed
+                elif kind == "end":
+                    if name in inner:
+                        del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                        continue
+                    if name == hidden:
+                        hidden = ""
+                        continue
+                    if not any(name == t for t, _ in stack):
+                        continue
+                    hidden = ""  # the block around it ends
+                else:
+                    continue
+            if kind == "text":
+                if head and not value.isspace():
+                    head = False
+                if not head:
+                    text(value)
                 continue
-            name = name.lower()
-            if m[2]:
+            if kind == "end":
                 if name == "head":
                     head = False
                 elif name == "a":
                     in_link = 0
-                elif name not in INLINE and name not in VOID:
+                elif name not in INLINE and name not in VOID and name not in HIDDEN and name not in RAW:
                     open_run = None
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i][0] == name:
                             del stack[i:]
                             break
                 continue
+            if head and name not in IN_HEAD and name != "head":
+                head = False
+            if name in HIDDEN:
+                if not (name == "svg" and value.endswith("/")):
+                    hidden, inner, closed = name, [], ends[name] > 0
+                continue
+            if name in RAW:
+                continue
             if name in INLINE:
                 inline[stack[-1][1]] += 1
                 in_link = in_link or name == "a"
@@ -127,8 +241,6 @@ class Page:
             if name == "head":
                 head = True
                 continue
-            if name == "body":
-                head = False
             if head:
                 continue
             open_run, in_link = None, 0
@@ -145,14 +257,11 @@ class Page:
             parent.append(stack[-1][1])
             stack.append((name, len(tag)))
             tag.append(name)
-            attrs.append(m[4] or "")
+            attrs.append(value)
             links.append(0)
             inline.append(0)
-            if name == "html" or (m[4] or "").endswith("/") and name not in TAGS:
-                stack.pop() if name != "html" else None
-        if at < len(source):
-            rest = source[at:]
-            text(rest if not re.match(r"<[a-zA-Z/!]", rest) else "")
+            if value.endswith("/") and name not in TAGS and name != "html":
+                stack.pop()
         self.blocks = [(owner, t) for owner, parts in runs if (t := " ".join(html.unescape("".join(parts)).split()))]
 
 
@@ -346,11 +455,14 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED):
         inner = rng.choice((f"&copy; {word()} &middot; {sentence()}", prose("b"), items("b") + prose("b"), sentence() + " " + sentence()))
         return f'<{tag} data-y=b{attr("foot", p=0.3 if tag == "footer" else 1)}>{inner}</{tag}>'
 
+    def heading(tag: str) -> str:
+        return f"<{tag} data-y=c>{' '.join(word() for _ in range(rng.randint(1, 9))).capitalize()}</{tag}>" if rng.random() < 0.6 else prose("c", tag)
+
     def article() -> str:
         tag = rng.choice(("article", "article", "article", "main", "div", "section"))
-        parts = [prose("c", rng.choice(("h1", "h1", "h2")))] if rng.random() < 0.85 else []
+        parts = [heading(rng.choice(("h1", "h1", "h2")))] if rng.random() < 0.85 else []
         for _ in range(rng.choice((1, 1, 2, 4, 7, 12, 20))):
-            parts.append(rng.choices((prose("c"), prose("c", "h2"), f'<ul data-y=c>{"".join(prose("c", "li") for _ in range(rng.randint(1, 5)))}</ul>', f"<blockquote data-y=c>{prose('c')}</blockquote>", prose("c", "div"), f"<table data-y=c><tr data-y=c>{prose('c', 'td')}{prose('c', 'td')}</tr></table>"), (14, 1.5, 1, 0.7, 0.7, 0.4))[0])
+            parts.append(rng.choices((prose("c"), heading("h2"), f'<ul data-y=c>{"".join(prose("c", "li") for _ in range(rng.randint(1, 5)))}</ul>', f"<blockquote data-y=c>{prose('c')}</blockquote>", prose("c", "div"), f"<table data-y=c><tr data-y=c>{prose('c', 'td')}{prose('c', 'td')}</tr></table>"), (14, 1.5, 1, 0.7, 0.7, 0.4))[0])
             if rng.random() < 0.06:
                 parts.append(rng.choice((advert, side, share, notice, form))())
         if rng.random() < 0.12:
@@ -358,12 +470,21 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED):
         if len(parts) > 2 and rng.random() < 0.12:
             parts.insert(0, f"<header data-y=b>{prose('b', 'div')}</header>")
         end = "" if rng.random() < 0.03 else f"</{tag}>"
+        layout = rng.random()
+        if layout < 0.12:  # no container: the parts stand in the body
+            return "".join(parts)
+        if layout < 0.34:  # a container that no attribute tells
+            return f"<div data-y=c>{''.join(parts)}{end and '</div>'}"
+        if layout < 0.42:  # a cell of a layout table
+            return f"<table data-y=c><tr data-y=c><td data-y=c>{''.join(parts)}</td></tr></table>"
         return f'<{tag} data-y=c{attr("content", p=0.25 if tag in ("article", "main") else 1)}>{"".join(parts)}{end}'
 
     for _ in range(count):
         before = [f() for f in (head, menu, notice, advert, side, form) if rng.random() < (0.75 if f is menu else 0.3)]
         after = [f() for f in (share, comments, side, advert, notice, foot) if rng.random() < (0.8 if f is foot else 0.25)]
         rng.shuffle(before)
+        if rng.random() < 0.2:  # nothing but the article
+            before, after = [], []
         main = article()
         if rng.random() < 0.3:
             inside = after.pop(0) if after and rng.random() < 0.5 else ""
@@ -372,6 +493,9 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED):
             body = f'<div data-y=n{attr("content", "head", p=0.2)}>{"".join(before)}{main}{"".join(after)}</div>'
         else:
             body = f'{"".join(before)}{main}{"".join(after)}'
+        if rng.random() < 0.25:  # a page may leave out what HTML lets it
+            yield body if rng.random() < 0.5 else f"<title>{word()}</title><body data-y=n>{body}"
+            continue
         yield f"<!DOCTYPE html><html data-y=n><head><title>{word()}</title><style>p{{}}</style></head><body data-y=n>{body}</body></html>"
 
 
@@ -390,7 +514,7 @@ def fit_extractor(count: int = TRAIN_PAGES, seed: int = SEED) -> Extractor:
         xs.append(node_features(page))
         ys += labels
     x, y = np.concatenate(xs), np.array(ys)
-    return Extractor(gbdt.fit(x, (y == "c").astype(float), trees=50, depth=5), gbdt.fit(x, (y == "b").astype(float), trees=50, depth=5))
+    return Extractor(gbdt.fit(x, (y == "c").astype(float), trees=60, depth=5), gbdt.fit(x, (y == "b").astype(float), trees=60, depth=5))
 
 
 def extract_main_text(pages: DataFrame, extractor: Extractor) -> DataFrame:

@@ -4,6 +4,7 @@ import wave
 
 import duckdb
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from brindle.llm import audio, html_extract, warc
@@ -86,11 +87,15 @@ def test_warc_of_awkward_pages(spark):
     assert warc.archive_round_trip(pages.where("page_id > 9")).count() == 0
 
 
-def test_main_text(spark, sf):
+@pytest.fixture(scope="module")
+def extractor():
+    return html_extract.fit_extractor()
+
+
+def test_main_text(spark, sf, extractor):
     import html
     import re
 
-    extractor = html_extract.fit_extractor()
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract_main_text(pages, extractor).collect()}
     for p in pages.collect():
@@ -119,3 +124,32 @@ def test_main_text(spark, sf):
             found += len(t) * (chosen[owner] == html_extract.CONTENT)
             right += len(t) * (labels[owner] == "c" and chosen[owner] == html_extract.CONTENT)
     assert right / held > 0.97 and right / found > 0.97
+
+
+P = "A sentence of some length, with words that say a thing or two about the river and the bridge. "
+
+
+def test_tokens_of_odd_markup(extractor):
+    pages = {
+        f"<article><h1>Title</h1><p>{P}</p><button-group>x</button-group><p>{P}two</p></article>": ["Title", P.strip(), P + "two"],
+        f"<article><h1>Title</h1><p>{P} <button>Share</p><p>{P}rest</p></article>": ["Title", P.strip(), P + "rest"],
+        f"<article><p title=it's>{P}</p><p>{P} it's two</p></article>": [P.strip(), P + "it's two"],
+        f"<div><h1>Title</h1><p>{P * 2}</p><p>{P * 3}</p></div>": ["Title", (P * 2).strip(), (P * 3).strip()],
+        f"<table><tr><td><h1>Title</h1><p>{P * 2}</p><p>{P * 3}</p></td></tr></table>": ["Title", (P * 2).strip(), (P * 3).strip()],
+        f"<article><p>one {P}<svg class='i'/> two</p><p>three {P}</p></article>": [f"one {P}two", f"three {P}".strip()],
+        f"<html><head><title>T</title><p>{P * 2}</p><p>{P}</p>": [(P * 2).strip(), P.strip()],
+        f"<article><script>if (a<b) x='</p>';</script><p>{P * 2}</p><style>p{{}}</style><p>{P}</p></article>": [(P * 2).strip(), P.strip()],
+        f"<article><!-- x > y --><p>{P * 2} a < b &amp; c</p></article>": [P * 2 + "a < b & c"],
+    }
+    for source, text in zip(pages, extractor.extract(list(pages))):
+        kept = text.split("\n")
+        assert [t for t in kept if t != "x"] == pages[source], source
+
+
+def test_long_odd_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for part in ("<a ", "<a href='", "<button>", "<script>", "<!-- ", "</b", "<svg>", "</button>", "<p a=\"b'>"):
+        html_extract.Page(part * 40_000)
+    assert time.time() - began < 30
