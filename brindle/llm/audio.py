@@ -25,11 +25,11 @@ from ._util import crc32, text_bytes, written
 
 RATE = 16_000
 #: Resampling ratio and taps of each phase.
-UP, DOWN, TAPS = 1, 2, 24
+UP, DOWN, TAPS = 3, 4, 24
 #: Bytes of tensors handed on at once (speed and memory only).
 BATCH_BYTES = 16 << 20
 #: Frame and hop in resampled samples, mel bands, frames of a tensor, frames worked on at once.
-FRAME, HOP, MELS, TENSOR_FRAMES, BLOCK = 256, 128, 20, 64, 2048
+FRAME, HOP, MELS, TENSOR_FRAMES, BLOCK = 384, 192, 20, 64, 2048
 
 
 def wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -170,7 +170,7 @@ def describe(stream: bytes, frames: int, found: list[tuple[int, int]]) -> str:
     total, digest = np.zeros(MELS), hashlib.sha256()
     for f in range(0, frames, BLOCK):
         part = mel[f : f + BLOCK]
-        digest.update(np.rint(part * 64).astype("<i2").tobytes())
+        digest.update(np.rint(part * 16).astype("<i2").tobytes())
         total += part.sum(0, dtype=np.float64)
     mean = ",".join(f"{v:.2f}" for v in total / frames)
     voiced = ",".join(f"{_ms(a)}-{_ms(b)}" for a, b in found)
