@@ -16,7 +16,12 @@ that stands in a third of all documents gives one row for each batch.
 
 Null text is the empty text. A null doc_id counts as smaller than any other. Rows with equal
 doc_id are ordered by the crc32 of their text; rows equal in both are one document, and each of
-them gets its result. Texts under ``LENGTH`` bytes lose nothing. Equality rests on 64-bit hashes.
+them gets its result. Texts under ``LENGTH`` bytes lose nothing; very long texts are cut into
+segments that overlap. Extra columns are ignored, whatever their names.
+
+The arrays are ordered by the hash of the gram at each anchor, not by the bytes that follow, and
+runs and strings are told apart by two 64-bit hashes: to ship the 168 bytes that an anchor's
+strings cover would be about five times the text. It is a stand-in for suffixes in byte order.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from pyspark.sql import functions as F
 from ._util import crc32, mix64, partitions, text_bytes, written
 
 LENGTH, GRAM = 100, 32
-#: Bytes of documents made into one suffix array.
-BATCH = 2 << 20
+#: Bytes of documents made into one suffix array; bytes of documents whose entries a receiving task is to get.
+BATCH, TASK_BYTES = 2 << 20, 64 << 20
 _NULL = -(1 << 63)
 _LOW = np.uint64((1 << 24) - 1)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -55,6 +60,11 @@ def _window_hash(h: np.ndarray, q: np.ndarray) -> np.ndarray:
     return mix64(h[q] * _ODD[1] + h[q + 32] * _ODD[2] + h[q + 64] * _ODD[3] + h[q + LENGTH - GRAM] * _ODD[4])
 
 
+def _second_hash(h: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Another hash of the same 100 bytes."""
+    return mix64(h[q] * _ODD[13] + h[q + 32] * _ODD[14] + h[q + 64] * _ODD[15] + h[q + LENGTH - GRAM] * _ODD[16])
+
+
 class Suffixes:
     """Columns of runs: key, span, doc, crc of its text, first start, number of starts."""
 
@@ -195,7 +205,7 @@ def _arrays(group):
 
 _DEALT = "part int, n int, repeated boolean, blob binary"
 _PLACED = "part int, partial boolean, n int, blob binary"
-_FOUND = "doc long, partial boolean, blob binary"
+_FOUND = "doc long, crc long, partial boolean, blob binary"
 
 
 def _deal(kept: Suffixes, again: Suffixes, parts: int):
@@ -222,7 +232,8 @@ def _spots(found: list[tuple[Suffixes, bool]], parts: int):
         spots = np.empty(len(s), _SPOT)
         for f in _SPOT.names:
             spots[f] = getattr(s, f)
-        to = (mix64(spots["doc"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        # By both, so that rows without an id are dealt out too.
+        to = (mix64(spots["doc"].astype(np.int64).view(np.uint64) * _ODD[17] + spots["crc"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         to, spots = to[order], spots[order]
         cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
@@ -242,12 +253,13 @@ def _by_document(batches):
         if not blobs:
             continue
         spots = np.concatenate(blobs)
-        spots = spots[np.argsort(spots["doc"], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate(([True], spots["doc"][1:] != spots["doc"][:-1])))
+        spots = spots[np.lexsort((spots["crc"], spots["doc"]))]
+        cuts = np.flatnonzero(np.concatenate(([True], (spots["doc"][1:] != spots["doc"][:-1]) | (spots["crc"][1:] != spots["crc"][:-1]))))
         for i in range(0, len(cuts), 10_000):
+            first = cuts[i : i + 10_000]
             ends = [*cuts[i + 1 : i + 10_001].tolist(), len(spots)]
-            rows = [(int(spots["doc"][a]), spots[a:b].tobytes()) for a, b in zip(cuts[i : i + 10_000].tolist(), ends)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([partial] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], names=["doc", "partial", "blob"])
+            columns = [pa.array(spots["doc"][first].astype(np.int64)), pa.array(spots["crc"][first].astype(np.int64)), pa.array([partial] * len(first)), pa.array([spots[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "crc", "partial", "blob"])
 
 
 def _receive(partial: bool, parts: int):
@@ -277,10 +289,9 @@ def _receive(partial: bool, parts: int):
     return rows
 
 
-def _unpacked(blobs, crc: int) -> np.ndarray:
-    """The distinct (start, count) rows of a document's blobs that belong to the text with this crc."""
-    rows = np.concatenate([np.frombuffer(b, _SPOT) for b in blobs])
-    return rows[rows["crc"] == crc]
+def _unpacked(blobs) -> np.ndarray:
+    """The (start, count) rows of a document's blobs."""
+    return np.concatenate([np.frombuffer(b, _SPOT) for b in blobs])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -304,8 +315,8 @@ def _results(batches):
         out = []
         for doc_id, data, blobs in zip(b.column("doc_id").to_pylist(), text_bytes(b.column("text")), b.column("blobs").to_pylist()):
             removed, spans, kept = 0, 0, data
-            if blobs and len(rows := _unpacked(blobs, crc32(data))):
-                removed, spans, kept = _kept(data, rows)
+            if blobs:
+                removed, spans, kept = _kept(data, _unpacked(blobs))
             out.append((doc_id, len(data), removed, spans, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=[f.split()[0] for f in RESULT.split(", ")])
@@ -314,8 +325,9 @@ def _results(batches):
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    parts = partitions(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.col("text").cast("string").alias("text"))
+    size = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(partitions(spark), size // TASK_BYTES)
 
     def index(batches):
         rows = ((d, t) for b in batches for d, t in zip(b.column("doc").to_pylist(), text_bytes(b.column("text"))))
@@ -329,17 +341,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = written(resolved(given.select("doc", "text").mapInArrow(index, _DEALT), True), "repeats")
 
     # The same exchange of the texts serves both joins below.
-    placed = given.repartition(parts, "doc")
-    listed = lambda df: df.groupBy("doc").agg(F.collect_list("blob").alias("blobs"))
+    placed = given.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).repartition(parts, "doc", "crc")
+    listed = lambda df: df.groupBy("doc", "crc").agg(F.collect_list("blob").alias("blobs"))
 
     def strings_of(batches):
         """The single strings of partly matching runs, as runs of one start."""
 
         def rows():
             for b in batches:
-                for doc, data, blobs in zip(b.column("doc").to_pylist(), text_bytes(b.column("text")), b.column("blobs").to_pylist()):
-                    c = crc32(data)
-                    for at, n in _unpacked(blobs, c)[["at", "n"]].tolist():
+                for doc, c, data, blobs in zip(b.column("doc").to_pylist(), b.column("crc").to_pylist(), text_bytes(b.column("text")), b.column("blobs").to_pylist()):
+                    for at, n in _unpacked(blobs)[["at", "n"]].tolist():
                         yield doc, c, at, data[at : at + n + LENGTH - 1]
 
         group, held = [], 0
@@ -351,7 +362,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             d = np.repeat(np.arange(len(group)), n)
             q = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n) + starts[d]
             key = _window_hash(h, q)
-            return _deal(*settle(Suffixes(key, np.zeros(len(q)), doc[d], crc[d], q + base[d], np.ones(len(q)))), parts)
+            return _deal(*settle(Suffixes(key, _second_hash(h, q), doc[d], crc[d], q + base[d], np.ones(len(q)))), parts)
 
         for g in rows():
             group.append(g)
@@ -362,7 +373,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if group:
             yield flush()
 
-    partly = placed.join(listed(found.where("partial")), "doc").select("doc_id", "doc", "text", "blobs")  # with all columns, so that the exchange is the same
+    partly = placed.join(listed(found.where("partial")), ["doc", "crc"]).select("doc_id", "doc", "crc", "text", "blobs")  # with all columns, so that the exchange is the same
     single = resolved(partly.mapInArrow(strings_of, _DEALT), False)
-    whole = listed(found.where("not partial").select("doc", "blob").union(single.select("doc", "blob")))
-    return placed.join(whole, "doc", "left").select("doc_id", "text", "blobs").mapInArrow(_results, RESULT)
+    whole = listed(found.where("not partial").select("doc", "crc", "blob").union(single.select("doc", "crc", "blob")))
+    return placed.join(whole, ["doc", "crc"], "left").select("doc_id", "text", "blobs").mapInArrow(_results, RESULT)

@@ -172,3 +172,16 @@ def test_linked_sets_share_enough_listed_shingles():
         if jaccard_join._linked(a, b):
             shared = len(np.intersect1d(a[: jaccard_join.prefix(len(a))], b[: jaccard_join.prefix(len(b))]))
             assert shared >= jaccard_join.least_shared(np.array([len(a)]), np.array([len(b)]))[0]
+
+
+def test_repeats_without_ids(spark):
+    import random
+
+    from .conftest import docs_of, prose
+
+    rng = random.Random(9)
+    shared = prose(rng, 60)
+    rows = [(None, prose(rng, rng.randint(1, 30)) + shared[rng.randint(0, 100) :] + prose(rng, 20)) for _ in range(12)] + [(3, shared), (None, shared), (None, shared)]
+    want = brute_repeats(rows)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs_of(spark, rows)).collect())
+    assert got == Counter((d, *want[d, t]) for d, t in rows)
