@@ -19,7 +19,6 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +60,8 @@ TOKEN_GROUP = {t: i for i, g in enumerate(GROUPS) for t in TOKENS[g]}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: One attribute, or the end of the tag: a value in quotes counts as such only after '='.
 PART = re.compile(r"[\s/]*(?:(>)|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[^\s>]*))?)")
+#: The rest of a usual tag at once: quotes stand around whole values only.
+USUAL = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'=]))*+>")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -79,6 +80,7 @@ class Tokens:
         self.source = source
         self.lower = source.lower() if len(source.lower()) == len(source) else re.sub("[A-Z]+", lambda m: m[0].lower(), source)
         self.none_after: dict[str, int] = {}  # from where on there is no end tag of a name
+        self.at = 0  # where the last tag ended
 
     def end_tag(self, name: str, at: int) -> int:
         """Where the next end tag of ``name`` begins, or -1."""
@@ -96,6 +98,8 @@ class Tokens:
     def tag_stop(self, at: int) -> int:
         """Where the tag whose attributes begin at ``at`` ends, after its '>'; -1 if nowhere."""
         source, n = self.source, len(self.source)
+        if m := USUAL.match(source, at):
+            return m.end()
         while at < n:
             m = PART.match(source, at)
             if not m or m.end() == at:
@@ -119,7 +123,7 @@ class Tokens:
                 name, stop = m[2].lower(), self.tag_stop(m.end())
                 if stop < 0:
                     return
-                at = stop
+                at = self.at = stop
                 if m[1]:
                     yield "end", name, ""
                     continue
@@ -178,10 +182,7 @@ class Page:
             if in_link:
                 links[stack[-1][1]] += len(raw)
 
-        ends = Counter(name for kind, name, _ in Tokens(source) if kind == "end" and name in HIDDEN) if any(f"<{h}" in tokens.lower for h in HIDDEN) else Counter()
         for kind, name, value in tokens:
-            if kind == "end" and name in ends:
-                ends[name] -= 1
             if hidden:
                 if kind == "start" and name not in VOID and not (hidden == "svg" and value.endswith("/")):
                     if closed or name in INLINE or name in HIDDEN:
@@ -222,7 +223,7 @@ class Page:
                 head = False
             if name in HIDDEN:
                 if not (name == "svg" and value.endswith("/")):
-                    hidden, inner, closed = name, [], ends[name] > 0
+                    hidden, inner, closed = name, [], tokens.end_tag(name, tokens.at) >= 0
                 continue
             if name in RAW:
                 continue
