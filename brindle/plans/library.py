@@ -443,10 +443,10 @@ def dml_upsert(spark, sf_dir):
     return mutation.upsert(n, rows, ["n_nationkey"]).select("n_nationkey", "n_name")
 
 
-@query("generated_columns", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_quantity, 2) AS subtotal, round(l_extendedprice * l_quantity * 1.1, 2) AS total FROM lineitem")
+@query("generated_columns", "SELECT l_orderkey, l_linenumber, l_extendedprice * l_quantity AS subtotal, l_extendedprice * l_quantity * 1.1 AS total FROM lineitem")
 def generated_columns(spark, sf_dir):
     df = mutation.generated(table(spark, sf_dir, "lineitem"), {"total_": "subtotal_ * 1.1", "subtotal_": "l_extendedprice * l_quantity"})
-    return df.select("l_orderkey", "l_linenumber", F.round("subtotal_", 2).alias("subtotal"), F.round("total_", 2).alias("total"))
+    return df.select("l_orderkey", "l_linenumber", F.col("subtotal_").alias("subtotal"), F.col("total_").alias("total"))
 
 
 @query("filter_records", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 15 AND (p_type LIKE 'S%' OR p_brand IN ('Brand#11', 'Brand#22')) AND NOT (p_retailprice > 1500)")
