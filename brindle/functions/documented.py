@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .registry import SCALAR, aggregate, col, scalar
+from .registry import SCALAR, aggregate, col, scalar, vectorized
 from .temporal import spark_pattern
 
 for _names, _f in {
@@ -54,6 +54,7 @@ def timestampdiff(unit: str, start, end):
 SCALAR["str_to_date"], SCALAR["timestampdiff"] = str_to_date, timestampdiff
 
 
+@vectorized
 @F.arrow_udf(StringType())
 def _hmac(data: pa.Array, key: pa.Array) -> pa.Array:
     one = lambda d, k: None if d is None or k is None else hmac.new(k.encode(), d.encode(), hashlib.sha256).hexdigest()

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .registry import scalar
+from .registry import scalar, vectorized
 
 _STEP = re.compile(r"""\.\s*(?:(\*)|"((?:[^"\\]|\\.)*)"|([^\s.\[\]"]+))|\[\s*(?:(\*)|(last(?:\s*-\s*\d+)?|\d+)(?:\s+to\s+(last(?:\s*-\s*\d+)?|\d+))?)\s*\]""")
 _BAD = object()
@@ -156,6 +156,7 @@ def load(text):
 def _udf(names: str, f, result: str = "string", read: int = 1):
     """Register ``f`` over texts; the first ``read`` arguments are read as JSON."""
 
+    @vectorized
     @F.pandas_udf(KINDS[result])
     def g(*columns: pd.Series) -> pd.Series:
         out = []

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .registry import col, scalar
+from .registry import col, scalar, vectorized
 
 
 def _d(c):
@@ -62,6 +62,7 @@ scalar("rand")(lambda *seed: F.rand() if not seed else F.call_function("rand", s
 def _paired(f):
     """``f`` of two columns of 64-bit numbers, in Arrow batches; NULL where either is."""
 
+    @vectorized
     @F.arrow_udf(T.LongType())
     def g(a: pa.Array, b: pa.Array) -> pa.Array:
         empty = pc.or_(pc.is_null(a), pc.is_null(b))
@@ -214,11 +215,13 @@ def xirr(flows: list[float], days: list[float], guess: float = 0.1):
     return solve(lambda r: sum(v / (1 + r) ** ((d - days[0]) / 365.0) for v, d in zip(flows, days)), guess)
 
 
+@vectorized
 @F.pandas_udf(T.DoubleType())
 def _irr(flows: pd.Series) -> pd.Series:
     return flows.map(lambda t: None if t is None else irr(json.loads(t))).astype("float64")
 
 
+@vectorized
 @F.pandas_udf(T.DoubleType())
 def _xirr(flows: pd.Series, dates: pd.Series) -> pd.Series:
     day = lambda d: pd.Timestamp(d).toordinal()
@@ -229,6 +232,7 @@ scalar("irr")(_irr)
 scalar("xirr")(_xirr)
 
 
+@vectorized
 @F.pandas_udf(T.DoubleType())
 def _rate(nper: pd.Series, pmt: pd.Series, pv: pd.Series, fv: pd.Series) -> pd.Series:
     return pd.Series([solve(lambda r: b * (1 + r) ** n + p * ((1 + r) ** n - 1) / (r or 1e-12) + f) for n, p, b, f in zip(nper, pmt, pv, fv)], dtype="float64")
@@ -237,6 +241,7 @@ def _rate(nper: pd.Series, pmt: pd.Series, pv: pd.Series, fv: pd.Series) -> pd.S
 scalar("rate")(lambda nper, pmt, pv, fv=0.0: _rate(_d(nper), _d(pmt), _d(pv), _d(fv)))
 
 
+@vectorized
 @F.pandas_udf(T.DoubleType())
 def _yield(price: pd.Series, face: pd.Series, coupon: pd.Series, years: pd.Series, freq: pd.Series) -> pd.Series:
     def one(p, f, c, y, m):

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .registry import scalar
+from .registry import scalar, vectorized
 
 KINDS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
 _NAMES = {n.upper(): n for n in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")}
@@ -268,6 +268,7 @@ def valid(g: Geometry) -> bool:
 def _udf(names: str, f, result: str, geometries: int = 1):
     dtype = {"string": "object", "double": "float64", "int": "Int32", "boolean": "boolean"}[result]
 
+    @vectorized
     @F.pandas_udf(KINDS[result])
     def g(*columns: pd.Series) -> pd.Series:
         out = []

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .registry import col, scalar
+from .registry import col, scalar, vectorized
 
 BLANK = r"[\s\u0085   -     　]+"
 
@@ -133,6 +133,7 @@ def decode(s, kind):
     return F.when(kind == "hex", F.unhex(s)).when(kind == "base64", F.unbase64(s))
 
 
+@vectorized
 @F.pandas_udf(T.LongType())
 def _fnv1a(s: pd.Series) -> pd.Series:
     def one(t):
@@ -160,8 +161,7 @@ def if_(cond, a, b):
 @scalar("hamming")
 def hamming(a, b):
     """Places that differ; texts of different length are an error."""
-    pairs = F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
-    n = F.size(F.filter(pairs, lambda p: p["x"] != p["y"]))
+    n = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda differs: differs))
     same = F.char_length(a) == F.char_length(b)
     return F.when(same, n).when(~same, F.raise_error(F.lit("hamming: lengths differ")).cast("int"))
 
@@ -225,6 +225,7 @@ def osa(a: str, b: str) -> int:
 
 
 def _pairwise(f, kind: str):
+    @vectorized
     @F.pandas_udf(T.LongType() if kind == "long" else T.DoubleType())
     def g(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="Int64" if kind == "long" else "float64")
@@ -241,6 +242,7 @@ scalar("jaro_winkler_similarity")(_pairwise(jaro_winkler, "double"))
 
 
 def _mapped(f):
+    @vectorized
     @F.pandas_udf(T.StringType())
     def g(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else f(t))
@@ -257,6 +259,7 @@ for _form in ("NFC", "NFD", "NFKC", "NFKD"):
 scalar("strip_accents")(_mapped(_bare))
 
 
+@vectorized
 @F.pandas_udf(T.StringType())
 def _normalized(s: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize((f or "NFC").upper(), t) for t, f in zip(s, form)])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,12 +15,35 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows.select(*[c for c in table.columns if c in rows.columns]), allowMissingColumns=True)
 
 
-def update(table: DataFrame, values: dict[str, Column], where: Column) -> DataFrame:
+def chosen(table: DataFrame, where: Column, order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """The rows that a change with ORDER BY and LIMIT meets; ties go by all columns, so that the choice is one."""
+    met = table.where(F.coalesce(where, F.lit(False)))
+    if limit is None:
+        return met
+    keys = [F.expr(o) if not (m := re.search(r"\s+(asc|desc)\s*$", o, re.I)) else getattr(F.expr(o[: m.start()]), m[1].lower())() for o in order]
+    return met.orderBy(*keys, *table.columns).limit(limit)
+
+
+def _marked(table: DataFrame, where: Column, order: Sequence[str], limit: int) -> DataFrame:
+    """``table`` with ``_hit``. Equal rows are numbered, as many of them hit as were chosen; the chosen ones are no more than ``limit``."""
+    names = {c: f"_chosen_{i}" for i, c in enumerate(table.columns)}
+    counts = chosen(table, where, order, limit).groupBy(*table.columns).agg(F.count("*").alias("_n")).withColumnsRenamed(names)
+    both = table.join(counts, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]), "left").drop(*names.values())
+    some = both.where("_n is not null").withColumn("_at", F.row_number().over(Window.partitionBy(*table.columns).orderBy("_n")))
+    some = some.withColumn("_hit", F.col("_at") <= F.col("_n")).drop("_at", "_n")
+    return both.where("_n is null").drop("_n").withColumn("_hit", F.lit(False)).unionByName(some)
+
+
+def update(table: DataFrame, values: dict[str, Column], where: Column, order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    if limit is not None:
+        return update(_marked(table, where, order, limit), values, F.col("_hit")).drop("_hit")
     hit = F.coalesce(where, F.lit(False))
     return table.withColumns({c: F.when(hit, v.cast(table.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def delete(table: DataFrame, where: Column) -> DataFrame:
+def delete(table: DataFrame, where: Column, order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    if limit is not None:
+        return _marked(table, where, order, limit).where("not _hit").drop("_hit")
     return table.where(~F.coalesce(where, F.lit(False)))
 
 
