@@ -1,21 +1,33 @@
-"""Joins of points with boxes through grid cells, in place of an R-tree."""
+"""Joins of points with boxes through grid cells of several levels, in place of an R-tree."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells double in width from level to level; the last level is one cell, for boxes beyond all others.
+LEVELS = 60
 
-def cells(low, high, size: float):
-    return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
+
+def _cell(x: Column, size: float, level: Column) -> Column:
+    return F.when(level < LEVELS, F.floor(x / (F.lit(float(size)) * F.pow(F.lit(2.0), level))).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """Rows of ``points`` (x, y) joined with the rows of ``boxes`` (x0, y0, x1, y1) around them.
 
-    Both sides are dealt to cells of ``size``; a point lies in one cell, so no pair comes twice.
+    A box goes to the level whose cells are as wide as the box or wider (``size`` at level 0), so it meets
+    at most four cells however large it is. A point has one cell at each level that holds boxes, so no pair
+    comes twice. A box with a NULL or NaN side, or with ends in the wrong order, holds no point.
     """
-    p = points.withColumn("_cx", F.floor(F.col("x") / size).cast("long")).withColumn("_cy", F.floor(F.col("y") / size).cast("long"))
-    b = boxes.withColumn("_cx", F.explode(cells(F.col("x0"), F.col("x1"), size))).withColumn("_cy", F.explode(cells(F.col("y0"), F.col("y1"), size)))
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double")
+    level = F.when(wide <= size, 0).when(wide < size * 2.0 ** (LEVELS - 1), F.ceil(F.log2(wide / size)).cast("int")).otherwise(LEVELS)
+    b = boxes.where("x0 <= x1 AND y0 <= y1 AND NOT isnan(x1) AND NOT isnan(y1)").withColumn("_level", level)
+    for axis in ("x", "y"):
+        low, high = (_cell(F.col(f"{axis}{end}"), size, F.col("_level")) for end in (0, 1))
+        b = b.withColumn(f"_c{axis}", F.explode(F.array_distinct(F.array(low, high))))
+    levels = sorted(r[0] for r in boxes.select(level.alias("l")).where("l is not null").distinct().collect())  # LEVELS + 1 at most
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumns({f"_c{axis}": _cell(F.col(axis), size, F.col("_level")) for axis in ("x", "y")})
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return p.join(b, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+    return p.join(b, ["_level", "_cx", "_cy"]).where(inside).drop("_level", "_cx", "_cy")

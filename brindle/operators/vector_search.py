@@ -92,17 +92,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray
 
 
 class Ivf:
-    """An inverted file: each row's list (nearest centroid) and code."""
+    """An inverted file: each row's list (nearest centroid) and code.
 
-    def __init__(self, table: DataFrame, lists: int = 32, code: str = "flat", parts: int = 8, id_column: str = "vec_id", column: str = "embedding"):
+    With ``path`` the lists are written there, a folder each, and a search reads the probed ones only; without
+    it each search deals the rows to lists anew. A list may be of any size: rows are dealt to files by list and
+    by a hash of the id. An empty table gives an empty index.
+    """
+
+    def __init__(self, table: DataFrame, lists: int = 32, code: str = "flat", parts: int = 8, id_column: str = "vec_id", column: str = "embedding", path: str | None = None):
         given = table.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v")).where("v is not null")
         rows = given.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-        x = np.array([r["v"] for r in rows], np.float64)
-        self.given, self.code, self.centroids = given, code, kmeans(x, lists)
-        self.low, self.step = x.min(0), np.maximum((x.max(0) - x.min(0)) / 255, 1e-12)
+        x = np.array([r["v"] for r in rows], np.float64) if rows else np.zeros((0, 1))
+        self.code, self.centroids = code, kmeans(x, lists) if rows else x
+        self.low, self.step = (x.min(0), np.maximum((x.max(0) - x.min(0)) / 255, 1e-12)) if rows else (0.0, 1.0)
         self.parts = np.array_split(np.arange(x.shape[1]), parts)
-        rest = x - self.centroids[_distances(x, self.centroids, "l2").argmin(1)]
-        self.books = [kmeans(rest[:, p], 256) for p in self.parts] if code == "pq" else []
+        rest = x - self.centroids[_distances(x, self.centroids, "l2").argmin(1)] if rows else x
+        self.books = [kmeans(rest[:, p], 256) for p in self.parts] if code == "pq" and rows else []
+        centroids = self.centroids
+
+        def deal(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    near = _distances(np.array(batch.column("v").to_pylist(), np.float64), centroids, "l2").argmin(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column("id"), batch.column("v")], names=["list", "id", "v"])
+
+        self.rows = given.mapInArrow(deal, f"list int, id long, v {given.schema['v'].dataType.simpleString()}")
+        if path:
+            self.rows.repartition("list", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("list").parquet(path)
+            self.rows = table.sparkSession.read.schema(self.rows.schema).parquet(path)
 
     def approximate(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
         """What the codes of the rows ``x`` say of them."""
@@ -119,28 +136,41 @@ class Ivf:
         return x
 
     def search(self, queries: DataFrame, k: int, probes: int = 8, metric: str = "l2", keep: int = 4, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-        """query, id, distance and rank: probe the nearest lists, rank ``keep`` * k of each batch by code, then exactly."""
-        rows = queries.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v")).where("v is not null").collect()
-        q, names = np.array([r["v"] for r in rows], np.float64), np.array([r["id"] for r in rows])
-        probed = np.zeros((len(q), len(self.centroids)), bool)
-        np.put_along_axis(probed, np.argsort(_distances(q, self.centroids, "l2"), axis=1)[:, :probes], True, axis=1)
-        index = (self.code, self.centroids, self.low, self.step, self.parts, self.books)
-
-        def scan(batches):
-            ivf = Ivf.__new__(Ivf)
-            ivf.code, ivf.centroids, ivf.low, ivf.step, ivf.parts, ivf.books = index
-            for batch in batches:
-                x = np.array(batch.column("v").to_pylist(), np.float64)
-                if not len(x):
-                    continue
-                near = _distances(x, ivf.centroids, "l2").argmin(1)
-                rough = np.where(probed[:, near].T, _distances(ivf.approximate(x, near), q, metric), np.inf)
-                exact = _distances(x, q, metric)
-                n = min(keep * k, len(x))
-                cut = np.partition(rough, n - 1, axis=0)[n - 1]
-                yield _batch(_top(batch.column("id").to_numpy(), np.where((rough <= cut) & np.isfinite(rough), exact, np.inf), k, names))
-
-        return _best(self.given.mapInArrow(scan, _HITS), k)
+        """query, id, distance and rank: of the nearest lists rank ``keep`` * k of each list and batch by code, these exactly; queries in blocks of ``QUERIES``."""
+        given = queries.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v")).where("v is not null")
+        blocks, out = max(1, -(-given.count() // QUERIES)), None
+        code = Ivf.__new__(Ivf)
+        code.code, code.centroids, code.low, code.step, code.parts, code.books = self.code, self.centroids, self.low, self.step, self.parts, self.books
+        for b in range(blocks):
+            found = given.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+            if not found or not len(self.centroids):
+                continue
+            q, names = np.array([r["v"] for r in found], np.float64), np.array([r["id"] for r in found])
+            probed = np.zeros((len(q), len(self.centroids)), bool)
+            np.put_along_axis(probed, np.argsort(_distances(q, self.centroids, "l2"), axis=1)[:, :probes], True, axis=1)
+
+            def scan(batches, q=q, names=names, probed=probed):
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    x, ids, near = np.array(batch.column("v").to_pylist(), np.float64), batch.column("id").to_numpy(), batch.column("list").to_numpy()
+                    hits = []
+                    for one in np.unique(near):
+                        at, asked = np.flatnonzero(near == one), np.flatnonzero(probed[:, one])
+                        if not len(asked):
+                            continue
+                        rough = _distances(code.approximate(x[at], near[at]), q[asked], metric)
+                        n = min(keep * k, len(at))
+                        cut = np.partition(rough, n - 1, axis=0)[n - 1]
+                        for j, i in enumerate(asked):
+                            near_by = at[rough[:, j] <= cut[j]]
+                            hits += _top(ids[near_by], _distances(x[near_by], q[i : i + 1], metric), k, names[i : i + 1])
+                    yield _batch(hits)
+
+            wanted = [int(i) for i in np.flatnonzero(probed.any(0))]
+            part = self.rows.where(F.col("list").isin(wanted)).mapInArrow(scan, _HITS)
+            out = part if out is None else out.unionByName(part)
+        return _best(queries.sparkSession.createDataFrame([], _HITS) if out is None else out, k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

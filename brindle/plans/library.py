@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -393,7 +394,9 @@ for _code in ("flat", "sq8", "pq", "bits"):
     def vec_ivf(spark, sf_dir, code=_code):
         e = table(spark, sf_dir, "embeddings")
         q = e.where("vec_id % 20 = 0")
-        found = vector_search.Ivf(e, 32, code).search(q, 10, probes=24, keep=12)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        path = f"{shared}/ivf-{code}-{uuid.uuid4().hex}" if shared else None
+        found = vector_search.Ivf(e, 32, code, path=path).search(q, 10, probes=24, keep=12)
         return vector_search.recall(found, vector_search.exact_knn(e, q, 10, "l2"))
 
 
