@@ -3,7 +3,7 @@
 Equal sets are one class. Small (light) sets enumerate their subsets of the fixed sizes that a
 link needs: two of them link exactly if they share such a subset. Large (heavy) sets are found by
 scanning inverted lists, of the shingles that stand first in each set when the frequent ones are
-put last: how many of these a linked pair shares at least follows from the sizes. The boundary
+put last, the most frequent at the end: how many of these a linked pair shares at least follows from the sizes. The boundary
 between light and heavy is chosen by cost from a census of all documents: the number of sets of
 each size and the length of the inverted list that an entry stands in.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ from .components import UnionFind, components
 WORDS, PERCENT = 5, 80
 #: Listed shingles that every heavy pair shares, at least, and as a part of the set; longest list of which all pairs are given.
 SHARED, SHARE, LONG = 3, 16, 256
-#: A shingle is frequent from this count on, or from a 2**-20 share of all shingles, if that is more.
-FREQUENT = 32
+#: A shingle is frequent from this count on, as long as there are no more of them than ``RANKED``; then from the least count that leaves so many.
+FREQUENT, RANKED = 8, 1 << 20
+#: Steps of counts to a doubling, by which that count is chosen.
+STEPS = 8
 #: Work of a list entry as against an enumerated subset; largest light size that is considered.
 LIST_COST, LARGEST_LIGHT = 2.0, 20
 #: Shingles compared in one task; bytes of text worked on at once; hashes counted at once.
@@ -94,6 +96,21 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(1, LARGEST_LIGHT + 1), key=lambda light: listed(light) + enumerated(light))
 
 
+def least_frequent(steps: dict[int, int]) -> int:
+    """The count from which on a shingle is frequent, for numbers of shingles by step of their count.
+
+    The counts that still give long lists do not rise with the corpus, so neither may this one:
+    the lists of shingles between the two would chain texts that have nothing else in common.
+    """
+    least, seen = 1 << 62, 0
+    for k in sorted(steps, reverse=True):
+        seen += steps[k]
+        if seen > RANKED or 2 ** ((k + 1) / STEPS) <= FREQUENT:
+            break
+        least = ceil(2 ** (k / STEPS))
+    return max(least, FREQUENT)
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", np.uint8)
@@ -215,7 +232,7 @@ def _lists(frequent, parts: int, light: int):
     """Entries of the inverted lists (heavy sets) and the enumerated subsets (sets of up to ``light``)."""
 
     def rows(batches):
-        common = frequent.value
+        common, level = frequent.value
         for chunk in _chunks(batches):
             sets = {class_of(s): s for s in shingle_sets([r[-1] for r in chunk]) if len(s)}
             listed, subsets = [], []
@@ -227,7 +244,7 @@ def _lists(frequent, parts: int, light: int):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                         often = common[at] == s
                         if often.any():
-                            s = np.concatenate((s[~often], s[often]))
+                            s = s[np.argsort(np.where(often, level[at], 0), kind="stable")]
                     listed.append((name, n, s[:k]))
                 if n <= light:
                     mixed = mix64(sets[name])
@@ -439,11 +456,13 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     census = written(given.mapInArrow(_census, _CENSUS), "jaccard-census")
     members = census.where("class is not null").select("doc_id", "n", "class")
     total = members.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT, total >> 20)
     times = written(census.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")), "jaccard-times")
-    # At most total / least, that is 2**20, shingles can be this frequent.
-    rows = times.where(F.col("times") >= least).select("shingle").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(rows["shingle"].to_numpy().view(np.uint64)))
+    step = F.floor(F.log2("times") * STEPS).cast("int")
+    least = least_frequent({r["step"]: r["n"] for r in times.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()})  # of fixed number
+    rows = times.where(F.col("times") >= least).select("shingle", F.floor(F.log2("times")).cast("byte").alias("level")).toArrow()  # about RANKED at most
+    shingle = rows["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(shingle)
+    frequent = spark.sparkContext.broadcast((shingle[order], rows["level"].to_numpy()[order]))
     # The mean length of the list of an entry, without the frequent shingles; sets by size, up to the largest of interest.
     longer = times.where(F.col("times") < least).agg(F.sum((F.col("times") - 1) * F.col("times"))).first()[0] or 0
     most = 100 * LARGEST_LIGHT // PERCENT + 1

@@ -142,6 +142,27 @@ def test_any_boundary_gives_the_same(spark, monkeypatch):
         assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
 
 
+def test_a_shared_passage_brings_no_texts_together(spark, monkeypatch):
+    import random
+
+    from .conftest import docs_of
+
+    # The bound holds lists short at any size of the corpus, and the number of ranked shingles bounded.
+    many = {k: 1 << max(0, 24 - k // 8) for k in range(8, 200)}
+    assert jaccard_join.FREQUENT <= jaccard_join.least_frequent({k: 10 for k in many}) <= jaccard_join.LONG // 8
+    assert sum(n for k, n in many.items() if 2 ** (k / 8) >= jaccard_join.least_frequent(many)) <= jaccard_join.RANKED
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    shared = " ".join(word() for _ in range(110))
+    rows = [(i, " ".join(word() for _ in range(25)) + f" {shared} " + " ".join(word() for _ in range(25))) for i in range(20)]
+    rows.append((20, rows[0][1] + " more"))
+    seen = {}
+    real = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda links, name: (seen.update({name: links.count()}), real(links, name))[1])
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows).coalesce(1)).collect())) == brute_components(rows)
+    assert seen["jaccard-blocks"] == 1
+
+
 def test_blocks_apart_from_their_leaders():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**60, 200, dtype=np.uint64)
