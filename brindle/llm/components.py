@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import written
+from ._util import releasing, written
 
 #: Links that a task contracts together, and the number from which on one task finishes.
 LOCAL = 1 << 20
@@ -69,11 +69,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     nothing changes or at most ``LOCAL`` links are left, which one task finishes; each round is written to the shared folder. No group is gathered: the least neighbour of a node comes from a
     partial aggregation and a join.
     """
-    edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local, "a long, b long"), name)
+    edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(releasing(_local), "a long, b long"), name)
     before = None
     while True:
         if edges.count() <= LOCAL:
-            done = written(edges.coalesce(1).mapInArrow(_local, "a long, b long"), name)
+            done = written(edges.coalesce(1).mapInArrow(releasing(_local), "a long, b long"), name)
             return done.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # a > b holds from here on. Large star: the larger neighbours of each node go to its least one.
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -82,7 +82,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         # Small star: a node and its smaller neighbours go to the least of these.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.distinct().mapInArrow(_local, "a long, b long"), name)
+        edges = written(small.distinct().mapInArrow(releasing(_local), "a long, b long"), name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

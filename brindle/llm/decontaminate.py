@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import mix64, text_slices
+from ._util import mix64, releasing, text_slices
 
 #: Template tokens of a window; share of an item's windows that must match, exactly or with other slots.
 WINDOW, EXACT_SHARE, TEMPLATE_SHARE = 8, 0.5, 0.8
@@ -345,7 +345,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, RESULT)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(rows), RESULT)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -354,8 +354,7 @@ def _clean(docs: DataFrame, index: Index):
     """A column function: whether a text holds no item of ``index``."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # a block of at most BLOCK_BYTES of item text
 
-    @F.arrow_udf("boolean")
-    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def free(columns):
         pieces = _Pieces()
         for column in columns:
             out, at = np.ones(len(column), bool), 0
@@ -364,6 +363,10 @@ def _clean(docs: DataFrame, index: Index):
                 at += len(texts)
             yield pa.array(out)
 
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(free)(columns)
+
     return clean
 
 

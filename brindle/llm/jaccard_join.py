@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ._util import mix64, partitions, text_bytes, text_slices, written
+from ._util import mix64, partitions, releasing, text_bytes, text_slices, written
 from .components import UnionFind, components
 
 WORDS, PERCENT = 5, 80
@@ -453,7 +453,7 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of every row of ``docs`` its doc_id, set size n and class (0 for the empty set); of every class that is linked with another its class, group (a class of it) and component_id."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    census = written(given.mapInArrow(_census, _CENSUS), "jaccard-census")
+    census = written(given.mapInArrow(releasing(_census), _CENSUS), "jaccard-census")
     members = census.where("class is not null").select("doc_id", "n", "class")
     total = members.agg(F.sum("n")).first()[0] or 0
     times = written(census.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")), "jaccard-times")
@@ -471,8 +471,8 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # About a third of all shingles are listed.
     parts = max(partitions(spark), total * _ENTRY.itemsize // (3 * TASK_BYTES))
 
-    dealt = given.select("text").mapInArrow(_lists(frequent, parts, light), _DEALT).repartition(parts, "part")
-    edges = written(dealt.mapInArrow(_scan(parts), _DEALT).repartition(parts, "part").mapInArrow(_count, _EDGES), "jaccard-edges")
+    dealt = given.select("text").mapInArrow(releasing(_lists(frequent, parts, light)), _DEALT).repartition(parts, "part")
+    edges = written(dealt.mapInArrow(releasing(_scan(parts)), _DEALT).repartition(parts, "part").mapInArrow(releasing(_count), _EDGES), "jaccard-edges")
 
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     roots = components(edges.where("not sure").select("a", "b"), "jaccard-blocks")
@@ -488,7 +488,7 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = given.where("doc_id is not null").join(placed.hint("merge"), "doc_id").select("class", "root", "tasks", "text")
     texts = texts.union(given.where("doc_id is null").select(_class_column(F.col("text")).alias("class"), "text").dropDuplicates(["class"]).join(unnamed.hint("merge"), "class").select("class", "root", "tasks", "text"))
     texts = texts.select("class", "root", F.explode("tasks").alias("_t"), "text").select("root", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "class", "text")
-    links = texts.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "class").mapInArrow(_compare, "a long, b long")
+    links = texts.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "class").mapInArrow(releasing(_compare), "a long, b long")
     joined = components(edges.where("sure").select("a", "b").union(links), "jaccard-links")
     whole = joined.union(joined.select(F.col("root").alias("node"), "root").distinct())
     named = whole.join(classes.select(F.col("class").alias("node"), "first"), "node")
@@ -510,6 +510,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 @F.arrow_udf(LongType())
 def _class_column(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from releasing(_class_names)(columns)
+
+
+def _class_names(columns):
     for column in columns:
         yield pa.array([class_of(s) for texts in text_slices(column, CHUNK) for s in shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts])], pa.int64())
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import crc32, strings
+from ._util import crc32, releasing, strings
 
 CAPACITY, END = 4096, 2
 #: Pieces of a group; longest piece; tokens that each window leaves free.
@@ -230,4 +230,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         if ids:
             yield emit()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(rows), COLUMNS)

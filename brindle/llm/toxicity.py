@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from ._util import crc_bucket, strings, text_slices, written
+from ._util import crc_bucket, releasing, strings, text_slices, written
 
 #: Labelled rows used for fitting, at most; lexicon entries kept, at most; cross-fitting folds.
 TRAIN_ROWS, ENTRIES, FOLDS = 24_000, 20_000, 4
@@ -232,7 +232,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     n_by = np.array([[totals.get((f, t), 0) for t in (0, 1)] for f in range(FOLDS)], float)
     if not n_by[:, 1].sum() or not n_by[:, 0].sum():
         return ToxicityModel({}, None, None)
-    per = sample.mapInArrow(_count_keys, "key string, fold int, toxic int, n long").groupBy("key").agg(
+    per = sample.mapInArrow(releasing(_count_keys), "key string, fold int, toxic int, n long").groupBy("key").agg(
         *(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"c{f}{t}") for f in range(FOLDS) for t in (0, 1))
     )
     pos = sum(F.col(f"c{f}1") for f in range(FOLDS))
@@ -255,7 +255,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
             x = [features(t, lexica[f]) for t, f in zip(strings(b.column("text")), fold)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("toxic"), b.column("fold"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
-    table = sample.mapInArrow(rows_of, "doc_id long, toxic int, fold int, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
+    table = sample.mapInArrow(releasing(rows_of), "doc_id long, toxic int, fold int, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
     x = np.array(table["x"].to_pylist(), float).reshape(-1, WIDTH)
     y = table["toxic"].to_numpy().astype(float)
     fold = table["fold"].to_numpy()
@@ -271,14 +271,17 @@ def _scorer(docs: DataFrame, model: ToxicityModel):
     """A column function from texts to scores: only the texts go to Python, 8 bytes come back for each."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES words and a few trees
 
-    @F.arrow_udf("double")
-    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scores(columns):
         m = shared.value
         lexicon = Lexicon(m.entries)
         for column in columns:
             x = [features(t, lexicon) for texts in text_slices(column) for t in texts]
             yield pa.array(m.score(np.array(x, float).reshape(-1, WIDTH)), pa.float64())
 
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(scores)(columns)
+
     return score
 
 
