@@ -7,10 +7,13 @@ put last, the most frequent at the end: how many of these a linked pair shares a
 between light and heavy is chosen by cost from a census of all documents: the number of sets of
 each size and the length of the inverted list that an entry stands in.
 
-Long inverted lists give links to the smallest member of each range of sizes instead of all
-pairs. Pairs sharing enough listed shingles and these links join classes into blocks; within a
-block all sets are compared exactly, first with a few leaders, then, for what these left apart, by counting common
-shingles over the block's own lists. Blocks over ``BLOCK`` shingles are dealt out as pairs of
+Listed sets of about one size whose first two listed shingles are equal are a group: near copies
+mostly are, others hardly ever. A list holds a group once and gives pairs of groups, so that many
+near copies of a text give no pairs among themselves; a pair of groups shares all the lists that
+any two of their members share. Long inverted lists give links to the smallest member of each
+range of sizes instead of all pairs. Groups, pairs of them sharing enough listed shingles and these
+links join classes into blocks; within a block all sets are compared exactly, first with a few
+leaders, then, for what these left apart, by counting common shingles over the block's own lists. Blocks over ``BLOCK`` shingles are dealt out as pairs of
 parts. So no pair of different texts is lost, and no group's pairs are all written.
 
 Words are what stands between ASCII spaces after lower-casing A-Z. A text with fewer than five
@@ -42,6 +45,8 @@ SHARED, SHARE, LONG = 3, 16, 256
 FREQUENT, RANKED = 8, 1 << 20
 #: Steps of counts to a doubling, by which that count is chosen.
 STEPS = 8
+#: Sizes of a group differ by less than one part in ``SPAN``. A long list links sizes up to ``WIDE`` percent of the smallest to one member: 100 / PERCENT, times that difference.
+SPAN, WIDE = 20, 132
 #: Work of a list entry as against an enumerated subset; largest light size that is considered.
 LIST_COST, LARGEST_LIGHT = 2.0, 20
 #: Shingles compared in one task; bytes of text worked on at once; hashes counted at once.
@@ -82,6 +87,22 @@ def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(need - np.maximum(rest(n), rest(m)), 1)
 
 
+def least_shared_within(least: np.ndarray, most: np.ndarray, least2: np.ndarray, most2: np.ndarray) -> np.ndarray:
+    """The least of ``least_shared`` for any sizes from ``least`` to ``most`` and from ``least2`` to ``most2``, or less."""
+    need = -(-PERCENT * (least + least2) // (100 + PERCENT))
+    # What is left of a set rises with its size, but for steps back by one.
+    rest = lambda a, b: b - np.minimum(b, b + (-PERCENT * b // 100) + np.maximum(SHARED, b // SHARE)) + (a < b)
+    return np.maximum(need - np.maximum(rest(least, most), rest(least2, most2)), 1)
+
+
+def group_of(listing: np.ndarray, n: int) -> int:
+    """A signed 64-bit name of the group of a set of ``n`` with this listing."""
+    two = np.zeros(3, np.uint64)
+    two[: min(2, len(listing))] = listing[:2]
+    two[2] = int(np.log(n) / np.log1p(1 / SPAN))
+    return int(mix64(np.array([(mix64(two) * _PLACE[:3]).sum(dtype=np.uint64)])).view(np.int64)[0])
+
+
 def subset_sizes(n: int, most: int) -> list[int]:
     return sorted({needed(n, m) for m in range(least_size(n), min(most, 100 * n // PERCENT) + 1)})
 
@@ -197,7 +218,7 @@ def _census(batches):
 
 
 _DEALT = "part int, kind int, n int, blob binary"
-_LISTED, _SUBSET, _PAIR, _SURE, _CHAIN = 0, 1, 2, 3, 4
+_LISTED, _SUBSET, _PAIR, _SURE, _CHAIN, _MEMBER = 0, 1, 2, 3, 4, 5
 
 
 def _rows(found: list[tuple[np.ndarray, int, np.ndarray]]):
@@ -213,7 +234,7 @@ def _rows(found: list[tuple[np.ndarray, int, np.ndarray]]):
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("name", "<i8"), ("n", "<u4")])
-_LINK = np.dtype([("a", "<i8"), ("b", "<i8"), ("n", "<u4"), ("m", "<u4")])
+_LINK = np.dtype([("a", "<i8"), ("b", "<i8"), ("need", "<u4")])
 
 
 def _part(key: np.ndarray, parts: int) -> np.ndarray:
@@ -229,13 +250,13 @@ def _in_ranges(blobs: list[bytes], kind: np.dtype, field: str):
 
 
 def _lists(frequent, parts: int, light: int):
-    """Entries of the inverted lists (heavy sets) and the enumerated subsets (sets of up to ``light``)."""
+    """Entries of the inverted lists (groups of heavy sets), the members of these groups, and the enumerated subsets (sets of up to ``light``)."""
 
     def rows(batches):
         common, level = frequent.value
         for chunk in _chunks(batches):
             sets = {class_of(s): s for s in shingle_sets([r[-1] for r in chunk]) if len(s)}
-            listed, subsets = [], []
+            listed, subsets, members = [], [], []
             for name, s in sets.items():
                 n = len(s)
                 if n >= least_size(light + 1):
@@ -245,7 +266,8 @@ def _lists(frequent, parts: int, light: int):
                         often = common[at] == s
                         if often.any():
                             s = s[np.argsort(np.where(often, level[at], 0), kind="stable")]
-                    listed.append((name, n, s[:k]))
+                    listed.append((group_of(s[:k], n), n, s[:k]))
+                    members.append((listed[-1][0], name))
                 if n <= light:
                     mixed = mix64(sets[name])
                     for c in subset_sizes(n, light):
@@ -260,26 +282,34 @@ def _lists(frequent, parts: int, light: int):
                     e["name"] = np.repeat([x[0] for x in entries], size)
                     e["n"] = np.repeat([x[1] + (x[2] << 16 if kind == _SUBSET else 0) for x in entries], size)
                     found.append((_part(e["key"], parts), kind, e))
+            if members:
+                e = np.zeros(len(members), _LINK)
+                e["a"], e["b"] = [x[1] for x in members], [x[0] for x in members]
+                found.append((np.full(len(e), _part(e["b"][:1].view(np.uint64), parts)[0]), _MEMBER, e))
             yield _rows(found)
 
     return rows
 
 
 def _scan(parts: int):
-    """Scan the lists that came to this task: pairs of short lists, chains of long ones, sure links of subsets."""
+    """Scan the lists that came to this task: pairs of short lists, chains of long ones, sure links of subsets. Members of groups pass."""
 
     def rows(batches):
-        by = {_LISTED: [], _SUBSET: []}
+        by = {_LISTED: [], _SUBSET: [], _MEMBER: []}
         for b in batches:
             for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
                 by[kind].append(blob)
+        if by[_MEMBER]:
+            yield _dealt_links({_MEMBER: [np.frombuffer(b"".join(by[_MEMBER]), _LINK)]}, parts)
+        del by[_MEMBER]
         for kind, blobs in by.items():
             for e in _in_ranges(blobs, _ENTRY, "key") if blobs else ():
-                e = e[np.lexsort((e["name"], e["key"]))]
-                again = np.zeros(len(e), bool)
-                again[1:] = (e["key"][1:] == e["key"][:-1]) & (e["name"][1:] == e["name"][:-1])
+                e = e[np.lexsort((e["n"], e["name"], e["key"]))]
+                again = np.zeros(len(e) + 1, bool)
+                again[1:-1] = (e["key"][1:] == e["key"][:-1]) & (e["name"][1:] == e["name"][:-1])
+                first = e[~again[:-1]]
                 held, size = {}, 0
-                for to, link in (_listed if kind == _LISTED else _subsets)(e[~again]):
+                for to, link in _listed(first, e["n"][~again[1:]].astype(np.int64)) if kind == _LISTED else _subsets(first):
                     held.setdefault(to, []).append(link)
                     size += len(link)
                     if size >= HELD:
@@ -305,20 +335,21 @@ def _cuts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.diff(np.concatenate((cuts, [len(e)])))
 
 
-def _listed(e: np.ndarray):
-    """Pairs of the short lists in sorted entries, chains of the long ones."""
+def _listed(e: np.ndarray, most: np.ndarray):
+    """Pairs of the short lists in sorted entries, chains of the long ones; sizes in a group are from ``e["n"]`` to ``most``."""
     cuts, size = _cuts(e)
     # All pairs of the short lists, by distance within the list.
-    s = e[np.repeat((size > 1) & (size <= LONG), size)]
+    short = np.repeat((size > 1) & (size <= LONG), size)
+    s, upper = e[short], most[short]
     for d in range(1, int(size[(size > 1) & (size <= LONG)].max(initial=1))):
         i = np.flatnonzero(s["key"][d:] == s["key"][:-d])
         if not len(i):
             break
         n, m = s["n"][i].astype(np.int64), s["n"][i + d].astype(np.int64)
-        near = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
-        i = i[near]
+        near = (100 * upper[i] >= PERCENT * m) & (100 * upper[i + d] >= PERCENT * n)
+        i, n, m = i[near], n[near], m[near]
         link = np.zeros(len(i), _LINK)
-        link["n"], link["m"] = n[near], m[near]
+        link["need"] = least_shared_within(n, upper[i], m, upper[i + d])
         link["a"], link["b"] = s["name"][i], s["name"][i + d]  # names rise within a list
         yield _PAIR, link
     for a, k in zip(cuts[size > LONG].tolist(), size[size > LONG].tolist()):
@@ -328,13 +359,13 @@ def _listed(e: np.ndarray):
         sizes, first = members["n"].astype(np.int64), 0
         to = np.zeros(k, np.int64)
         while first < k:
-            end = int(np.searchsorted(sizes, 100 * sizes[first] // PERCENT, "right"))
+            end = int(np.searchsorted(sizes, WIDE * sizes[first] // 100, "right"))
             to[first:end] = first
             to[first] = max(first - 1, 0)  # neighbours may link over the edge of a range
             first = end
         link = np.zeros(k - 1, _LINK)
         link["a"], link["b"] = members["name"][1:], members["name"][to[1:]]
-        yield _CHAIN, link[100 * sizes[to[1:]] >= PERCENT * sizes[1:]]
+        yield _CHAIN, link[WIDE * sizes[to[1:]] >= 100 * sizes[1:]]
 
 
 def _subsets(e: np.ndarray):
@@ -351,12 +382,13 @@ def _subsets(e: np.ndarray):
         yield _SURE, link
 
 
+#: sure is null for a class and its group.
 _EDGES = "a long, b long, sure boolean"
 
 
 def _count(batches):
-    """Pairs that share enough listed shingles, chains and sure links."""
-    by = {_PAIR: [], _SURE: [], _CHAIN: []}
+    """Pairs that share enough listed shingles, chains, sure links and members of groups."""
+    by = {_PAIR: [], _SURE: [], _CHAIN: [], _MEMBER: []}
     for b in batches:
         for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
             by[kind].append(blob)
@@ -365,10 +397,11 @@ def _count(batches):
             x = x[np.lexsort((x["b"], x["a"]))]
             first = np.flatnonzero(np.concatenate(([True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1]))))
             times = np.diff(np.concatenate((first, [len(x)])))
+            if kind == _PAIR and len(x):
+                first = first[times >= np.minimum.reduceat(x["need"], first)]
             x = x[first]
-            if kind == _PAIR:
-                x = x[times >= least_shared(x["n"].astype(np.int64), x["m"].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(x["a"]), pa.array(x["b"]), pa.array(np.full(len(x), kind == _SURE))], names=["a", "b", "sure"])
+            sure = pa.nulls(len(x), pa.bool_()) if kind == _MEMBER else pa.array(np.full(len(x), kind == _SURE))
+            yield pa.RecordBatch.from_arrays([pa.array(x["a"]), pa.array(x["b"]), sure], names=["a", "b", "sure"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -475,7 +508,12 @@ def _labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = written(dealt.mapInArrow(releasing(_scan(parts)), _DEALT).repartition(parts, "part").mapInArrow(releasing(_count), _EDGES), "jaccard-edges")
 
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    roots = components(edges.where("not sure").select("a", "b"), "jaccard-blocks")
+    # A group is named by one of its classes from here on.
+    groups = edges.where("sure is null").select(F.col("a").alias("class"), F.col("b").alias("group"))
+    one = written(groups.groupBy("group").agg(F.min("class").alias("one")), "jaccard-groups")
+    inside = groups.join(one.hint("merge"), "group").where("class <> one").select(F.col("class").alias("a"), F.col("one").alias("b"))
+    among = edges.where("not sure").select(F.col("a").alias("group"), "b").join(one.hint("merge"), "group").select(F.col("one").alias("a"), F.col("b").alias("group")).join(one.hint("merge"), "group").select("a", F.col("one").alias("b"))
+    roots = components(inside.union(among), "jaccard-blocks")
     blocks = written(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes, F.col("node") == F.col("class")).select("class", "root", "first", "n"), "jaccard-classes")
     # A block too large for a task is cut in parts, and each pair of parts is compared.
     # The texts are shuffled at any size: the other side grows with the corpus.

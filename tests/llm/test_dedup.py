@@ -182,6 +182,54 @@ def test_connected_components(spark, monkeypatch, limit):
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100 and 100 not in got
 
 
+def test_many_near_copies_give_few_pairs(spark):
+    import random
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from .conftest import docs_of
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w[: len(w) - rng.randint(0, 4)])))
+    nothing = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int8)))
+    dealt = list(jaccard_join._lists(nothing, 1, 4)([pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})]))
+    entries = lambda batches, kind: sum(n for b in batches for k, n in zip(b["kind"].to_pylist(), b["n"].to_pylist()) if k == kind)
+    # All pairs of 30 in each list would be about 14 for each of its entries.
+    assert entries(jaccard_join._scan(1)(dealt), jaccard_join._PAIR) < 4 * entries(dealt, jaccard_join._LISTED)
+    assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
+
+
+def test_long_lists_and_groups_lose_no_link(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from .conftest import docs_of
+
+    size = np.arange(1, 400)
+    for span in (1, 2, 5, 11):
+        least = jaccard_join.least_shared_within(size, size + span - 1, *(size[:, None] + k for k in (0, span - 1)))
+        for a in range(span):
+            for b in range(span):
+                assert (least <= jaccard_join.least_shared(size + a, size[:, None] + b)).all()
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(70)]
+    rows = [(i, " ".join(base[rng.randint(0, 9) : rng.randint(40, 70)])) for i in range(60)]
+    for longest in (2, 256):  # chains, pairs
+        monkeypatch.setattr(jaccard_join, "LONG", longest)
+        assert Counter(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows).coalesce(1)).collect())) == brute_components(rows)
+
+
 def test_linked_sets_share_enough_listed_shingles():
     rng = np.random.default_rng(7)
     for _ in range(400):
