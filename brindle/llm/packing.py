@@ -38,6 +38,9 @@ MEMO, CHUNK = 300_000, 1 << 20
 UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏ]")
 # Whole runs of ASCII marks, '_' being one, but the apostrophe, which the tokenizer may join to letters. A run next to any other mark is left to the tokenizer.
 MARKS = re.compile(r"(?<![^\w\s])(?<!_)[!-&(-/:-@\[-`{-~]+(?![^\w\s])(?!_)")
+# Without others that count as marks, every run is whole: those of usual texts, control characters among them, and what lower-casing splits off.
+RUNS = re.compile(r"([!-&(-/:-@\[-^`{-~]+)")
+OTHERS = re.compile("[" + "".join(re.escape(chr(c)) for c in (*range(0x250), *range(0x300, 0x370)) if re.match(r"[^\w\s]|_", chr(c)) and not RUNS.match(chr(c))) + "]")
 
 
 class Encoder:
@@ -48,9 +51,12 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-cased words of letters and runs of marks between spaces, which normalising and cutting leave as they are.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -64,27 +70,27 @@ class Encoder:
     def _usual(self, text: str) -> bool:
         return not UNUSUAL.search(text) and not ("<|" in text and any(s in text for s in self.special))
 
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        return (MARKS.sub(r" \g<0> ", text) if OTHERS.search(text) else " ".join(RUNS.split(text))).split()
+
     def _learn(self, tokens: set[str]) -> None:
         memo = self.memo
-        new = [t for t in tokens if t not in memo]
+        new = tokens.difference(memo)
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list(tokens)
-        one = lambda t: t.isalpha() or MARKS.fullmatch(t)
-        plain = [t for t in new if one(t)]
-        others = [t for t in new if not one(t)] if len(plain) < len(new) else []
+            new = tokens
+        plain = [t for t in new if t.isalpha() or MARKS.fullmatch(t)]
+        others = new.difference(plain) if len(plain) < len(new) else []
         if plain:
             # Each is one word to the tokenizer, whose last id carries the word end.
-            ids = self._exact(" ".join(plain))
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            ids = np.array(self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
             data = ids.astype("<u2").tobytes()
             if len(stops) == len(plain):
-                last = 0
-                for w, stop in zip(plain, stops.tolist()):
-                    memo[w] = data[last:stop]
-                    last = stop
+                memo.update(zip(plain, map(data.__getitem__, map(slice, [0, *stops], stops))))
             else:
-                others += plain
+                others = new
         for t in others:
             memo[t] = self._exact(t).astype("<u2").tobytes()
 
@@ -96,7 +102,7 @@ class Encoder:
             while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
                 size += len(texts[j])
                 j += 1
-            split = [MARKS.sub(r" \g<0> ", t.lower()).split() if self._usual(t) else None for t in texts[i:j]]
+            split = [self._split(t.lower()) if self._usual(t) else None for t in texts[i:j]]
             self._learn(set().union(*(s for s in split if s)))
             get = self.memo.__getitem__
             for text, tokens in zip(texts[i:j], split):

@@ -145,6 +145,21 @@ def test_encoder_on_random_texts():
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_need_no_normaliser(monkeypatch):
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x250) if not chr(c).isalnum() and not chr(c).isspace()]
+    piece = lambda: "".join(rng.choices(letters if rng.random() < 0.7 else marks, k=rng.randint(1, 9)))
+    texts = ["".join(piece() + rng.choice(["", " ", "\xa0"]) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    encoder = packing.Encoder(tokenizer_path())
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    want = encoder._exact("Plain words, and marks!! (ñandú).").tolist()
+    encoder.memo.clear()
+    monkeypatch.setattr(encoder, "_exact", None)  # the whole tokenizer is for other texts
+    assert next(encoder.encode(["Plain words, and marks!! (ñandú)."])).tolist() == want
+
+
 def test_differencing_and_padding():
     rng = random.Random(1)
     sizes = [rng.randint(1, 1024) for _ in range(900)]
