@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,60 +40,85 @@ UNUSUAL = re.compile("[^\x00-\x1b\x20-ɏ]")
 # Whole runs of ASCII marks, '_' being one, but the apostrophe, which the tokenizer may join to letters. A run next to any other mark is left to the tokenizer.
 MARKS = re.compile(r"(?<![^\w\s])(?<!_)[!-&(-/:-@\[-`{-~]+(?![^\w\s])(?!_)")
 # Without others that count as marks, every run is whole: those of usual texts, control characters among them, and what lower-casing splits off.
-RUNS = re.compile(r"([!-&(-/:-@\[-^`{-~]+)")
+RUNS = re.compile(r"[!-&(-/:-@\[-^`{-~]+")
 OTHERS = re.compile("[" + "".join(re.escape(chr(c)) for c in (*range(0x250), *range(0x300, 0x370)) if re.match(r"[^\w\s]|_", chr(c)) and not RUNS.match(chr(c))) + "]")
+# Texts of these bytes only are usual and without others: ASCII and U+00C0 to U+023F, letters but for these; İ splits when lower-cased.
+PLAIN = bytes(b for b in range(256) if (not UNUSUAL.match(chr(b)) and not OTHERS.match(chr(b)) if b < 0x80 else b < 0xC0 or 0xC3 <= b <= 0xC8))
+NOT_PLAIN = "×÷İ"
+# Kinds of UTF-8 bytes in usual texts without others: white space, marks of runs, parts of words.
+SPACE, MARK, WORD = range(3)
+KINDS = np.array([SPACE if b < 0x80 and chr(b).isspace() else MARK if RUNS.match(chr(b)) else WORD for b in range(256)], np.uint8)
+# The characters by which the vocabulary writes bytes: visible ones of Latin-1 stand for themselves, the others are numbered from U+0100.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(_HIDDEN)}
 
 
 class Encoder:
     """Token ids of texts, equal to the tokenizer's own.
 
     The tokenizer drops white space and treats the words between, and runs of marks, as
-    independent, so their ids can be kept; words that are new in a chunk are encoded together.
+    independent, so their ids can be kept; words that are new in a chunk go to its model.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For lower-cased words of letters and runs of marks between spaces, which normalising and cutting leave as they are.
-        self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
     def _exact(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _usual(self, text: str) -> bool:
-        return not UNUSUAL.search(text) and not ("<|" in text and any(s in text for s in self.special))
+    def _prepare(self, text: str) -> tuple[bytes, bool] | None:
+        """The text lower-cased in UTF-8, and whether its marks are all of whole runs (else they are cut off already); None if it is for the tokenizer."""
+        if "<|" in text and any(s in text for s in self.special):
+            return None
+        data = text.encode()
+        if not data.translate(None, PLAIN) and (len(data) == len(text) or not any(c in text for c in NOT_PLAIN)):
+            return text.lower().encode(), True
+        if UNUSUAL.search(text):
+            return None
+        text = text.lower()
+        if OTHERS.search(text):
+            return " ".join(MARKS.sub(r" \g<0> ", text).split()).encode(), False
+        return " ".join(text.split()).encode(), True
 
     @staticmethod
-    def _split(text: str) -> list[str]:
-        return (MARKS.sub(r" \g<0> ", text) if OTHERS.search(text) else " ".join(RUNS.split(text))).split()
-
-    def _learn(self, tokens: set[str]) -> None:
-        memo = self.memo
-        new = tokens.difference(memo)
+    def _tokens(prepared: list[tuple[bytes, bool]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Words and runs of marks of texts: their numbers in order, the different ones, and how many there are up to the end of each text."""
+        ends = np.cumsum([len(data) + 1 for data, _ in prepared], dtype=np.int64)
+        chars = np.frombuffer(b"\n".join([*(data for data, _ in prepared), b""]), np.uint8)
+        kinds = KINDS[chars]
+        for (data, runs), end in zip(prepared, ends.tolist()):
+            if not runs:
+                part = kinds[end - 1 - len(data) : end]
+                part[part == MARK] = WORD
+        inside = kinds != SPACE
+        starts = (np.diff(kinds, prepend=np.uint8(SPACE)) != 0) & inside
+        chars = chars[inside]
+        offsets = np.append(np.flatnonzero(starts[inside]), len(chars)).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(chars)).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(np.flatnonzero(starts), ends)
+
+    def _ids(self, tokens: list[str]) -> list[bytes]:
+        """The ids of different words and runs of marks, 16 bits each."""
+        memo, tokenize = self.memo, self.model.tokenize
+        out = list(map(memo.get, tokens))
+        new = [i for i, x in enumerate(out) if x is None]
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = tokens
-        plain = [t for t in new if t.isalpha() or MARKS.fullmatch(t)]
-        others = new.difference(plain) if len(plain) < len(new) else []
-        if plain:
-            # Each is one word to the tokenizer, whose last id carries the word end.
-            ids = np.array(self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
-            data = ids.astype("<u2").tobytes()
-            if len(stops) == len(plain):
-                memo.update(zip(plain, map(data.__getitem__, map(slice, [0, *stops], stops))))
+            memo.update((t, x) for t, x in zip(tokens, out) if x is not None)
+        for i in new:
+            t = tokens[i]
+            if t.isalpha() or MARKS.fullmatch(t):
+                # One word to the tokenizer, which normalising and cutting leave as it is.
+                ids = [x.id for x in tokenize(t if t.isascii() else t.encode().decode("latin-1").translate(BYTE_CHARS))]
             else:
-                others = new
-        for t in others:
-            memo[t] = self._exact(t).astype("<u2").tobytes()
+                ids = self._exact(t).tolist()
+            out[i] = memo[t] = array("H", ids).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; works on about ``CHUNK`` characters at a time."""
@@ -102,11 +128,18 @@ class Encoder:
             while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
                 size += len(texts[j])
                 j += 1
-            split = [self._split(t.lower()) if self._usual(t) else None for t in texts[i:j]]
-            self._learn(set().union(*(s for s in split if s)))
-            get = self.memo.__getitem__
-            for text, tokens in zip(texts[i:j], split):
-                yield self._exact(text) if tokens is None else np.frombuffer(b"".join(map(get, tokens)), "<u2").astype(np.uint32)
+            prepared = [self._prepare(t) for t in texts[i:j]]
+            numbers, tokens, stops = self._tokens([p for p in prepared if p])
+            known = self._ids(tokens)
+            lengths = np.fromiter(map(len, known), np.int64, len(known)) // 2
+            # Of the tokens in order: how many ids each has, where these end, and how far from there they lie in the known ones.
+            counts = lengths[numbers]
+            ends = np.cumsum(counts)
+            shifts = np.cumsum(lengths)[numbers] - ends
+            ids = np.frombuffer(b"".join(known), np.uint16).astype(np.uint32)[np.arange(counts.sum()) + np.repeat(shifts, counts)]
+            parts = iter(np.split(ids, np.append(0, ends)[stops]))
+            for text, p in zip(texts[i:j], prepared):
+                yield next(parts) if p else self._exact(text)
             i = j
 
 

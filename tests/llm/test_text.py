@@ -160,6 +160,41 @@ def test_words_need_no_normaliser(monkeypatch):
     assert next(encoder.encode(["Plain words, and marks!! (ñandú)."])).tolist() == want
 
 
+def test_usual_texts_need_no_patterns(monkeypatch):
+    text = "Plain words, and marks!! (ñandú) in 2 lines\tand\r\nmore -- Ça, Știe ȺƵ ǅ\x0bend."
+    encoder = packing.Encoder(tokenizer_path())
+    want = encoder._exact(text).tolist()
+    for name in ("UNUSUAL", "OTHERS", "RUNS"):  # these cost more than cutting by bytes
+        monkeypatch.setattr(packing, name, None)
+    assert next(encoder.encode([text])).tolist() == want
+
+
+def test_known_words_of_a_chunk_outlive_the_memo(monkeypatch):
+    encoder = packing.Encoder(tokenizer_path())
+    monkeypatch.setattr(packing, "MEMO", 5)
+    assert len(list(encoder.encode(["one two three four"]))) == 1
+    kept = encoder.memo["two"]
+    assert next(encoder.encode(["two five six"])).tolist() == encoder._exact("two five six").tolist()
+    assert encoder.memo["two"] is kept and set(encoder.memo) == {"two", "five", "six"}
+
+
+def test_encoder_on_mixed_chunks(monkeypatch):
+    rng = random.Random(13)
+    encoder = packing.Encoder(tokenizer_path())
+    monkeypatch.setattr(packing, "MEMO", 60)
+    pieces = ["word", "WORD", "İzmir", "\u212a", "\u212bx", "ẞ", "a×b", "÷", "10÷2", "ª", "µm", "¡", "été", "ȿɏ", "ɐ", "數字", "e\u0301", "don't", "'s", "(x)", "--", "__", "_", "!!",
+              "<|endoftext|>", "<|", "\x00", "\x1c", "\x85", "\xa0", "\xad", " ", "  ", "\n", "\t", "7", "½", "²"]
+    texts = ["", " \n", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(4000))]
+    for chunk in (1, 40, 1 << 20):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        got = list(encoder.encode(texts))
+        assert len(got) == len(texts)
+        for text, ids in zip(texts, got):
+            assert ids.dtype == np.uint32 and ids.tolist() == encoder._exact(text).tolist(), text
+    for same in (["數字"] * 2, [""] * 2, []):
+        assert [ids.tolist() for ids in encoder.encode(same)] == [encoder._exact(t).tolist() for t in same]
+
+
 def test_differencing_and_padding():
     rng = random.Random(1)
     sizes = [rng.randint(1, 1024) for _ in range(900)]
