@@ -12,7 +12,7 @@ from .tables import sql
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = {name: (lambda spark, sf_dir, text=text: sql(spark, sf_dir, text)) for name, text in relational.SQL.items()}
-    return made | library.QUERIES | further.QUERIES
+    return made | relational.QUERIES | library.QUERIES | further.QUERIES
 
 
 def oracles() -> dict[str, str]:

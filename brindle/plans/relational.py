@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.block_join import block_join
+from .tables import table
+
 SQL: dict[str, str] = {
     "q1_pricing_summary": """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
@@ -67,3 +75,20 @@ GROUP BY n.n_name""",
     "revenue_change": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24",
     "conversation_turns": "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, length(text) AS n FROM conversations",
 }
+
+
+def compound_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL of that name; a nation has so many pairs that they are dealt out by blocks."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    return block_join(s, c, ["nation"], F.col("s_acctbal") > F.col("c_acctbal")).select("s_suppkey", "c_custkey")
+
+
+def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL of that name, dealt out likewise."""
+    s = table(spark, sf_dir, "supplier")
+    a, b = (s.select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias(n)) for n in ("s1", "s2"))
+    return block_join(a, b, ["nation"], F.col("s1") < F.col("s2")).select("s1", "s2")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"compound_join": compound_join, "self_join": self_join}
