@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from brindle.operators import spatial_join
 from brindle.operators.block_join import block_join
 
 
@@ -19,3 +20,35 @@ def test_blocks_hold_every_pair_once_and_bound_a_task(spark):
     assert block_join(a, b.where("k = 9"), ["k"], F.lit(True)).isEmpty()
     # A lone key with many rows on one side only is cut by rows.
     assert block_join(a.where("k = 4"), b, ["k"], F.lit(True), rows=100).count() == 2_100
+
+
+def test_flat_boxes_meet_few_points(spark):
+    """Boxes much wider than high: a cell is as flat as they are, so few points are compared with each."""
+    r = random.Random(6)
+    points = [(i, r.uniform(0, 1000), float(r.randrange(1000))) for i in range(2_000)]
+    boxes = [(i, x, x + 100, y, y + 2) for i, x, y in ((i, r.uniform(0, 900), float(r.randrange(1000))) for i in range(200))]
+    p, b = spark.createDataFrame(points, "p int, x double, y double"), spark.createDataFrame(boxes, "b int, x0 double, x1 double, y0 double, y1 double")
+    seen = {}
+
+    def counted(left, right, on, condition):
+        seen["pairs"] = left.join(right, on).count()
+        return block_join(left, right, on, condition, pairs=500)
+
+    spatial_join.block_join, kept = counted, spatial_join.block_join
+    try:
+        found = sorted((t["p"], t["b"]) for t in spatial_join.points_in_boxes(p, b, 50.0).select("p", "b").collect())
+    finally:
+        spatial_join.block_join = kept
+    assert found == sorted((i, j) for i, x, y in points for j, x0, x1, y0, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1)
+    assert seen["pairs"] < 4_000  # 200 boxes of 400 * 6.25 of a million, where cells of 100 x 100 held 200 * 2 * 20
+
+
+def test_many_shapes_of_boxes(spark):
+    """More pairs of levels than points are looked up at."""
+    r = random.Random(7)
+    points = [(i, r.uniform(-50, 50), r.uniform(-50, 50)) for i in range(60)]
+    boxes = [(i, x, x + 10 ** r.uniform(-6, 6), y, y + 10 ** r.uniform(-6, 6)) for i, x, y in ((i, r.uniform(-60, 50), r.uniform(-60, 50)) for i in range(300))]
+    boxes += [(300 + i, points[i][1], points[i][1], points[i][2], points[i][2]) for i in range(5)]
+    p, b = spark.createDataFrame(points, "p int, x double, y double"), spark.createDataFrame(boxes, "b int, x0 double, x1 double, y0 double, y1 double")
+    found = sorted((t["p"], t["b"]) for t in spatial_join.points_in_boxes(p, b, 1.0).select("p", "b").collect())
+    assert found == sorted((i, j) for i, x, y in points for j, x0, x1, y0, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1)
