@@ -16,6 +16,8 @@ from ..functions.vectors import cosine, inner_product, l2
 
 #: Vectors that centroids are fitted on, at most; query vectors of a block.
 SAMPLE, QUERIES = 20_000, 4_096
+#: Distances that a task holds at once, rows of them at most, and numbers of vectors that it holds to compare pairs.
+TILE, ROWS, PAIRED = 1 << 20, 1 << 11, 1 << 20
 METRIC = {"cosine": cosine, "l2": l2, "ip": lambda a, b: -inner_product(a, b)}
 
 
@@ -35,17 +37,57 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ q.T + (q**2).sum(1)[None, :], 0))
 
 
-def _top(ids: np.ndarray, d: np.ndarray, k: int, queries: np.ndarray) -> list[tuple]:
-    out = []
-    for j in range(d.shape[1]):
-        order = np.lexsort((ids, d[:, j]))[:k]
-        out += [(int(queries[j]), int(ids[i]), float(d[i, j])) for i in order if np.isfinite(d[i, j])]
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a column as rows; ragged ones are an error."""
+    lengths = np.diff(column.offsets.to_numpy())
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors differ in dimension")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _exact(x: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows ``i`` of ``x`` to the rows ``j`` of ``q``, summed coordinate by coordinate as SQL does: equal vectors are equally far."""
+    out = np.empty(len(i))
+    step = max(1, PAIRED // max(1, x.shape[1]))
+    for s in range(0, len(i), step):
+        a, b = np.ascontiguousarray(x[i[s : s + step]].T), np.ascontiguousarray(q[j[s : s + step]].T)
+        total = lambda v: np.add.reduce(v, axis=0)
+        if metric == "l2":
+            d = np.sqrt(total((a - b) ** 2))
+        elif metric == "ip":
+            d = -total(a * b)
+        else:
+            norm = np.sqrt(total(a * a)) * np.sqrt(total(b * b))
+            d = np.where(norm == 0, 1.0, 1 - total(a * b) / np.where(norm == 0, 1, norm))
+        out[s : s + step] = d
     return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query", "id", "distance"])
+def _slack(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """By how much ``_distances`` of a query may miss, at most: squared distances for l2."""
+    rounding = 8 * (x.shape[1] + 8) * np.finfo(np.float64).eps
+    if metric == "cosine":
+        return np.full(len(q), rounding)
+    longest = np.sqrt(np.nanmax((x**2).sum(1), initial=0.0))
+    size = np.sqrt((q**2).sum(1))
+    return rounding * ((longest + size) ** 2 if metric == "l2" else longest * size)
+
+
+def _reach(d: np.ndarray, slack: np.ndarray, metric: str) -> np.ndarray:
+    """The rough distance up to which rows may be as near as ``d``."""
+    return np.sqrt(d**2 + 2 * slack) if metric == "l2" else d + 2 * slack
+
+
+def _nearest(j: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each query ``j``; equal distances by id."""
+    order = np.lexsort((ids, d, j))
+    order = order[np.isfinite(d[order])]
+    first = np.searchsorted(j[order], j[order], "left")
+    return order[np.arange(len(order)) - first < k]
+
+
+def _batch(queries: np.ndarray, ids: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array(d, pa.float64())], names=["query", "id", "distance"])
 
 
 _HITS = "query long, id long, distance double"
@@ -70,9 +112,29 @@ def exact_knn(table: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
             continue
 
         def scan(batches, q=q, names=names):
+            best_j, best_id, best_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            cut = np.full(len(q), np.inf)  # the k-th distance so far
             for batch in batches:
-                x = np.array(batch.column("v").to_pylist(), np.float64)
-                yield _batch(_top(batch.column("id").to_numpy(), _distances(x, q, metric), k, names) if len(x) else [])
+                if not batch.num_rows:
+                    continue
+                every, ids = _matrix(batch.column("v")), batch.column("id").to_numpy()
+                for s in range(0, len(every), ROWS):
+                    x = every[s : s + ROWS]
+                    wide = max(1, TILE // len(x))
+                    found = [(best_j, best_id, best_d)]
+                    for c in range(0, len(q), wide):
+                        some = q[c : c + wide]
+                        rough, slack, bound = _distances(x, some, metric), _slack(x, some, metric), cut[c : c + wide]
+                        if np.isinf(bound).any() and len(x) > k:
+                            bound = np.minimum(bound, _reach(np.partition(rough, k - 1, axis=0)[k - 1], slack, metric))
+                        i, j = np.nonzero(rough <= _reach(bound, slack, metric))
+                        found.append((j + c, ids[s + i], _exact(x, some, i, j, metric)))
+                    j, i, d = (np.concatenate(v) for v in zip(*found))
+                    kept = _nearest(j, i, d, k)
+                    best_j, best_id, best_d = j[kept], i[kept], d[kept]
+                    full = np.flatnonzero(np.bincount(best_j, minlength=len(q)) == k)
+                    cut[full] = best_d[np.searchsorted(best_j, full, "right") - 1]
+            yield _batch(names[best_j], best_id, best_d)
 
         part = table.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("v")).where("v is not null").mapInArrow(scan, _HITS)
         out = part if out is None else out.unionByName(part)
@@ -113,7 +175,7 @@ class Ivf:
         def deal(batches):
             for batch in batches:
                 if batch.num_rows:
-                    near = _distances(np.array(batch.column("v").to_pylist(), np.float64), centroids, "l2").argmin(1)
+                    near = _distances(_matrix(batch.column("v")), centroids, "l2").argmin(1)
                     yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column("id"), batch.column("v")], names=["list", "id", "v"])
 
         self.rows = given.mapInArrow(deal, f"list int, id long, v {given.schema['v'].dataType.simpleString()}")
@@ -153,19 +215,20 @@ class Ivf:
                 for batch in batches:
                     if not batch.num_rows:
                         continue
-                    x, ids, near = np.array(batch.column("v").to_pylist(), np.float64), batch.column("id").to_numpy(), batch.column("list").to_numpy()
-                    hits = []
+                    x, ids, near = _matrix(batch.column("v")), batch.column("id").to_numpy(), batch.column("list").to_numpy()
                     for one in np.unique(near):
                         at, asked = np.flatnonzero(near == one), np.flatnonzero(probed[:, one])
-                        if not len(asked):
-                            continue
-                        rough = _distances(code.approximate(x[at], near[at]), q[asked], metric)
-                        n = min(keep * k, len(at))
-                        cut = np.partition(rough, n - 1, axis=0)[n - 1]
-                        for j, i in enumerate(asked):
-                            near_by = at[rough[:, j] <= cut[j]]
-                            hits += _top(ids[near_by], _distances(x[near_by], q[i : i + 1], metric), k, names[i : i + 1])
-                    yield _batch(hits)
+                        n, wide = min(keep * k, len(at)), max(1, TILE // len(at))
+                        mine = x[at]
+                        told = code.approximate(mine, near[at]) if len(asked) else mine
+                        for c in range(0, len(asked), wide):
+                            some = asked[c : c + wide]
+                            rough, slack = _distances(told, q[some], metric), _slack(told, q[some], metric)
+                            cut = np.partition(rough, n - 1, axis=0)[n - 1]
+                            i, j = np.nonzero(rough <= _reach(cut, slack, metric))
+                            d = _exact(mine, q[some], i, j, metric)
+                            kept = _nearest(j, ids[at[i]], d, k)
+                            yield _batch(names[some[j[kept]]], ids[at[i[kept]]], d[kept])
 
             wanted = [int(i) for i in np.flatnonzero(probed.any(0))]
             part = self.rows.where(F.col("list").isin(wanted)).mapInArrow(scan, _HITS)
