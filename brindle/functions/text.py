@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .registry import col, scalar, vectorized
+from .registry import BY_NAME, col, scalar, vectorized
 
 BLANK = r"[\s\u0085   -     　]+"
 
@@ -254,9 +255,44 @@ def _bare(t: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
 
-for _form in ("NFC", "NFD", "NFKC", "NFKD"):
-    scalar(_form.lower())(_mapped(lambda t, f=_form: unicodedata.normalize(f, t)))
-scalar("strip_accents")(_mapped(_bare))
+#: Marks that Unicode 15.1 has and older Java does not, and one that is no longer without width.
+MARKS = (
+    r"[\p{Mn}\x{898}-\x{89F}\x{8CA}-\x{8D2}\x{C3C}\x{ECE}\x{180F}\x{1AC1}-\x{1ACE}\x{1DFA}\x{10EFD}-\x{10EFF}\x{10F82}-\x{10F85}\x{11070}\x{11073}\x{11074}\x{110C2}\x{11241}\x{11F00}\x{11F01}"
+    r"\x{11F36}-\x{11F3A}\x{11F40}\x{11F42}\x{13440}\x{13447}-\x{13455}\x{1CF00}-\x{1CF2D}\x{1CF30}-\x{1CF46}\x{1E08F}\x{1E2AE}\x{1E4EC}-\x{1E4EF}&&[^\x{1734}]]+"
+)
+
+
+def _in_jvm(s: Column, form: str) -> Column:
+    """``s`` in a Unicode form by the ICU that Spark ships, so that no text goes to Python."""
+    jvm = SparkContext._active_spark_context._jvm
+    made, text, sql = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.java.lang.Class.forName("java.lang.String"), jvm.org.apache.spark.sql
+    objects, string = sql.catalyst.expressions.objects, sql.types.ObjectType(text)
+    seq = lambda *v: jvm.PythonUtils.toSeq(list(v))
+    build = sql.catalyst.SerializerBuildHelper, sql.catalyst.DeserializerBuildHelper
+    given = build[1].createDeserializerForString(made.expression(s.cast("string")._jc), True)
+    compat = made.expression(F.lit("K" in form)._jc)
+    icu = jvm.java.lang.Class.forName("com.ibm.icu.text.Normalizer")
+    name = "decompose" if form.endswith("D") else "compose"
+    mapped = objects.StaticInvoke(icu, string, name, seq(given, compat), seq(), True, True, True, jvm.scala.Option.empty())
+    return Column(made.column(build[0].createSerializerForString(mapped)))
+
+
+def _form(form: str):
+    python = _mapped(lambda t: unicodedata.normalize(form, t))
+    return lambda s: python(s) if BY_NAME.get() else _in_jvm(s, form)
+
+
+FORMS = {f: _form(f) for f in ("NFC", "NFD", "NFKC", "NFKD")}
+_bare_in_python = _mapped(_bare)
+
+
+@scalar("strip_accents")
+def strip_accents(s):
+    return _bare_in_python(s) if BY_NAME.get() else _in_jvm(F.regexp_replace(_in_jvm(s, "NFD"), MARKS, ""), "NFC")
+
+
+for _name, _f in FORMS.items():
+    scalar(_name.lower())(_f)
 
 
 @vectorized
@@ -265,12 +301,21 @@ def _normalized(s: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize((f or "NFC").upper(), t) for t, f in zip(s, form)])
 
 
-scalar("unicode_normalize")(lambda s, form="NFC": _normalized(s, col(form)))
+@scalar("unicode_normalize")
+def unicode_normalize(s, form="NFC"):
+    """NULL or the empty text as form is NFC."""
+    if BY_NAME.get():
+        return _normalized(s, col(form))
+    given = F.upper(F.coalesce(F.nullif(col(form), F.lit("")), F.lit("NFC")))
+    out = F.when(s.isNull(), F.lit(None).cast("string"))
+    for f in FORMS:
+        out = out.when(given == f, _in_jvm(s, f))
+    return out.otherwise(F.raise_error(F.lit("invalid normalization form")).cast("string"))
 
 
 @scalar("transliterate")
 def transliterate(s, rule):
-    bare = _mapped(_bare)(s)
+    bare = strip_accents(s)
     return F.when(F.lower(rule).contains("ascii"), bare).when(F.lower(rule).contains("upper"), F.upper(s)).when(F.lower(rule).contains("lower"), F.lower(s)).otherwise(s)
 
 
@@ -280,5 +325,5 @@ def icu_compare(a, b):
     return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
 
 
-scalar("icu_sort_key")(lambda s, locale=None: F.lower(F.hex(F.lower(_mapped(_bare)(s)).cast("binary"))))
+scalar("icu_sort_key")(lambda s, locale=None: F.lower(F.hex(F.lower(strip_accents(s)).cast("binary"))))
 scalar("collation")(lambda *_: F.lit("utf8mb4_unicode_ci"))
